@@ -25,6 +25,11 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("_text"), F.xxhash64(text).alias("_th"), *[docs[c] for c in more])
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL for body with name bound to value, computed once. A plain alias that a lambda reads may be inlined by the optimizer and then computed for each element."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def lower_az(text: Column) -> Column:
     """A-Z to a-z and nothing else; the JVM's faster lower() serves where the text is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
