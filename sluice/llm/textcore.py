@@ -13,9 +13,6 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers of the polynomial hashes (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-#: Words that a worker remembers the hashes of; more are hashed again, to the same value.
-REMEMBER = 300_000
-
 
 def by_value(name: str) -> None:
     """Lets a module's functions be sent to the executors by value."""
@@ -24,30 +21,38 @@ def by_value(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def hasher():
-    """bytes -> 64-bit hash, remembered in this worker."""
-    import xxhash
+def split(column):
+    """Words (runs of other than ASCII white space) of an Arrow string column without nulls: the distinct words, each word's number among them, the words in each text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    found = getattr(sys, "_sluice_words", None)
-    if found is None or len(found) > REMEMBER:
+    lists = pc.ascii_split_whitespace(column.cast(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    number, edges = np.asarray(coded.indices).astype(np.int64), np.asarray(lists.offsets).astype(np.int64)
+    edges = edges - edges[0]
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # white space at a text's ends leaves an empty word
+        real = number != blank
+        edges = np.concatenate([[0], np.cumsum(real)])[edges]
+        number = number[real]
+    return coded.dictionary, number, np.diff(edges)
 
-        class Words(dict):
-            def __missing__(self, word, _hash=xxhash.xxh3_64_intdigest):
-                value = self[word] = _hash(word)
-                return value
 
-        found = sys._sluice_words = Words()
-    return found.__getitem__
+def strings(column):
+    """An Arrow string column whose nulls are empty texts."""
+    return column.fill_null("") if column.null_count else column
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of other than ASCII white space) of the texts, and the words in each text."""
-    hashes, counts = [], []
-    for data in texts:
-        words = data.split()
-        counts.append(len(words))
-        hashes.append(np.fromiter(map(hasher(), words), U, len(words)))
-    return (np.concatenate(hashes) if hashes else np.empty(0, U)), np.asarray(counts, dtype=np.int64)
+def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after the other, and the words in each text."""
+    import pyarrow as pa
+    import xxhash
+
+    distinct, number, counts = split(strings(column))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.cast(pa.binary()).to_pylist()), U, len(distinct))
+    return hashes[number], counts
 
 
 def inverse(m: int) -> int:

@@ -70,7 +70,7 @@ def sketch(texts: DataFrame, cells: int, width: int, core: int) -> dict[int, byt
 
         found = [np.empty(0, tc.U)]
         for batch in batches:
-            hashes, counts = tc.word_hashes(tc.binary(batch.column(0)))
+            hashes, counts = tc.word_hashes(batch.column(0))
             _, at = _anchors(hashes, counts, width, core)
             at = np.unique(at)
             found.append(tc.Rolling(hashes)(at, at + core))
@@ -128,7 +128,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
         keep = [[] for _ in range(5)]
         for batch in batches:
             doc, th = (np.asarray(batch.column(i).fill_null(NULL_ID)) for i in (0, 1))
-            hashes, counts = tc.word_hashes(tc.binary(batch.column(2)))
+            hashes, counts = tc.word_hashes(batch.column(2))
             starts, at = _anchors(hashes, counts, width, core)
             if not len(starts):
                 continue
@@ -245,7 +245,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {WIDTH}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - {WIDTH - 1})) AS i FROM d WHERE len(w) >= {WIDTH})),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM x) WHERE n > 1),
 g AS (SELECT DISTINCT doc_id, i + unnest(range(0, {WIDTH})) AS i FROM r),
