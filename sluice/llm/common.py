@@ -42,11 +42,26 @@ def on_key(a: DataFrame, b: DataFrame, how: str, key: list[str] = KEY) -> DataFr
     return a.join(right, [a[k].eqNullSafe(right[names[k]]) for k in key], how).drop(*names.values())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the folder that the cluster shares; sets one of its own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-ckpt-"))
+        now = sc._jsc.sc().getCheckpointDir()
+    return now.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    import uuid
+
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
