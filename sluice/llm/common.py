@@ -65,3 +65,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder."""
     _shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table written to the shared folder: lineage is cut and later reads take only the columns they use."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

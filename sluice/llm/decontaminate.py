@@ -62,33 +62,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, _th (the text's hash), n_words, hits (array of word places), items (array of item_ids). One row for each row of docs."""
     bench = checkpoint(benchmark_windows(benchmark))
     lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # at most WINDOW numbers
-    rows = keyed(docs).select("doc_id", "_th", words(F.col("_text")).alias("_w"))
-    if not lengths:
-        return rows.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
-    keys = bench.select(F.col("n").alias("_n"), F.col("f").alias("_bf"), F.col("window"), F.col("items"))
-    prints = keys.select("_n", "_bf").distinct()
-    each = [f"transform(array_distinct({_fingerprints(n)}), _x -> struct({n} as n, _x as f))" for n in lengths]
-    found = rows.select("doc_id", "_th", F.explode(F.expr(f"concat({', '.join(each)})")).alias("_x"))
-    joined = found.join(_hinted(bench, prints), (F.col("_x.n") == F.col("_n")) & (F.col("_x.f") == F.col("_bf")), "left_semi")
-    hits = joined.groupBy("doc_id", "_th").agg(F.collect_set("_x").alias("_hit"))
-    both = on_key(keyed(docs), hits, "left").select("doc_id", "_th", words(F.col("_text")).alias("_w"), "_hit")
+    split = keyed(docs).select("doc_id", "_th", words(F.col("_text")).alias("_w"))
+    # beside its fingerprints each row sends its number of words, under a key that no window has
+    each = [f"transform(array_distinct({_fingerprints(n)}), _x -> struct({n} as n, _x as f, 0 as c))" for n in lengths]
+    own = "array(struct(0 as n, _th as f, size(_w) as c))"
+    sent = split.select("doc_id", "_th", F.explode(F.expr(f"concat({', '.join([own, *each])})")).alias("_x"))
+    prints = _hinted(bench, bench.select(F.col("n").alias("_n"), F.col("f").alias("_bf")).distinct())
+    met = sent.join(prints, (F.col("_x.n") == F.col("_n")) & (F.col("_x.f") == F.col("_bf")), "left").filter(F.col("_n").isNotNull() | (F.col("_x.n") == 0))
+    mine = F.col("_x.n") == 0
+    one = met.groupBy("doc_id", "_th").agg(F.max(F.when(mine, F.col("_x.c"))).cast("long").alias("n_words"), F.count(F.when(mine, 1)).cast("int").alias("_same"), F.collect_set(F.when(~mine, F.struct("_x.n", "_x.f"))).alias("_hit"))
+    one = checkpoint(one)
+    found = _extended(docs, one.filter(F.size("_hit") > 0).select("doc_id", "_th", "_hit"), bench, lengths)
+    out = on_key(one, found, "left").withColumn("_same", F.explode(F.expr("array_repeat(0, _same)")))
+    hits, items = F.coalesce("hits", F.array().cast("array<int>")), F.coalesce("items", F.array().cast(bench.schema["items"].dataType))
+    return out.select("doc_id", "_th", "n_words", hits.alias("hits"), items.alias("items"))
+
+
+def _extended(docs: DataFrame, candidates: DataFrame, bench: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, _th, hits, items): the candidates' windows around their joined fingerprints, compared with the benchmark's windows."""
+    size = candidates.select(F.sum(64 + 16 * F.size("_hit"))).first()[0] or 0
+    texts = on_key(keyed(docs), F.broadcast(candidates) if size < BROADCAST_BYTES else candidates, "inner").select("doc_id", "_th", words(F.col("_text")).alias("_w"), "_hit")
     per = [
         let(f"transform(filter(_hit, _x -> _x.n = {n}), _x -> _x.f)", "_h",
             f"transform(filter(transform({_fingerprints(n)}, (_x, _i) -> struct(_x as f, _i as i)), _x -> array_contains(_h, _x.f)), _x -> struct({n} as n, _x.i as i, concat_ws(' ', slice(_w, _x.i + 1, {n})) as window))")
         for n in lengths
-    ]
-    windows = both.select("doc_id", "_th", F.size("_w").cast("long").alias("n_words"), F.expr(f"CASE WHEN _hit IS NULL THEN array() ELSE concat({', '.join(per)}) END").alias("_c"))
-    # a document without candidates keeps one row, whose key is its own and matches no window
-    each = windows.select("doc_id", "_th", "n_words", F.greatest(F.size("_c"), F.lit(1)).alias("_rows"), F.explode_outer("_c").alias("_x"))
-    each = each.withColumn("_key", F.coalesce(F.col("_x.window"), F.concat(F.lit("\x01"), F.col("_th").cast("string"))))
-    real = _hinted(bench, keys.select(F.col("window").alias("_bw"), "items").groupBy("_bw").agg(F.flatten(F.collect_list("items")).alias("items")))
-    matched = each.join(real, F.col("_key") == F.col("_bw"), "left")
-    place = F.when(F.col("_bw").isNotNull(), F.struct("_x.n", "_x.i"))
-    one = matched.groupBy("doc_id", "_th", "n_words", "_rows").agg(F.collect_set(place).alias("_p"), F.flatten(F.collect_set("items")).alias("_items"), F.count("*").alias("_n"))
-    # rows that repeat were grouped together; their number is the group's rows over the rows of one
-    one = one.withColumn("_same", F.explode(F.expr("array_repeat(0, cast(_n / _rows as int))")))
+    ] or ["cast(array() as array<struct<n: int, i: int, window: string>>)"]
+    windows = texts.select("doc_id", "_th", F.explode(F.expr(f"concat({', '.join(per)})")).alias("_x"))
+    known = bench.groupBy(F.col("window").alias("_bw")).agg(F.flatten(F.collect_list("items")).alias("items"))
+    matched = windows.join(_hinted(bench, known), F.col("_x.window") == F.col("_bw"))
+    grouped = matched.groupBy("doc_id", "_th").agg(F.collect_set(F.struct("_x.n", "_x.i")).alias("_p"), F.flatten(F.collect_set("items")).alias("_items"))
     places = F.expr("array_distinct(flatten(transform(_p, _x -> sequence(_x.i, _x.i + _x.n - 1))))")
-    return one.select("doc_id", "_th", "n_words", places.alias("hits"), F.array_distinct("_items").alias("items"))
+    return grouped.select("doc_id", "_th", places.alias("hits"), F.array_distinct("_items").alias("items"))
 
 
 def _hinted(bench: DataFrame, df: DataFrame) -> DataFrame:
