@@ -12,10 +12,12 @@ hash and then compared as words, so a hash collision changes nothing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WORD
+from sluice.llm.common import WORD, let
 
 #: Bit position is the place in this list; add rules at its end only. Each is (name, SQL over the measurements).
 RULES = [
@@ -34,15 +36,15 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def _repeat_words() -> str:
-    """SQL for the words inside 3-word windows found twice or more, over _w (words) and _n (their number).
+    """SQL for the words inside 3-word windows found twice or more, over _w (words).
 
     Window hashes share a long with their positions, so one primitive sort puts equal windows side by side;
     the few that meet are sorted again by their words. Every step is linear or n log n in the text.
     """
     meet = lambda a, b: f"coalesce({a} = {b}, false)"
     return f"""
-    CASE WHEN _n < 4 THEN 0L ELSE get(transform(array(ceil(log2(_n + 1D)) + 1), _b -> cast(get(
-      transform(array(sort_array(transform(sequence(1, _n - 2), _i ->
+    CASE WHEN size(_w) < 4 THEN 0L ELSE get(transform(array(ceil(log2(size(_w) + 1D)) + 1), _b -> cast(get(
+      transform(array(sort_array(transform(sequence(1, size(_w) - 2), _i ->
           shiftleft(xxhash64(element_at(_w, _i), element_at(_w, _i + 1), element_at(_w, _i + 2)), cast(_b as int)) | cast(_i as bigint)))),
         _s -> get(
       transform(array(transform(filter(_s, (_x, _j) -> {meet("shiftright(_x, cast(_b as int))", "shiftright(get(_s, _j - 1), cast(_b as int))")}
@@ -57,23 +59,22 @@ def _repeat_words() -> str:
 
 def ledger(docs: DataFrame, column: str = "quality") -> DataFrame:
     """docs with a struct column: the measurements, and `fail_bits` with one bit per rule of RULES."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = [c for c in docs.columns if c != column]
-    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), text.alias("_t")) if names else docs
-    split = packed.select("_row", "_t", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    measured = split.select(
-        "_row",
-        "_w",
-        F.size("_w").alias("_n"),
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-    ).withColumn("n_repeat_words", F.expr(_repeat_words()))
-    bits = F.expr(" | ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, (_, rule) in enumerate(RULES)))
-    out = measured.select("_row", F.struct(*MEASURES, bits.alias("fail_bits")).alias("_q"))
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], F.col("_q").alias(column))
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_t"))
+    return packed.select(*[F.col("_row").getField(c).alias(c) for c in names], F.expr(_ledger_sql()).alias(column))
+
+
+def _ledger_sql() -> str:
+    """The whole ledger as one expression over _t, with every shared value bound: an optimizer that moves or copies it can't compute a part for each word."""
+    word = WORD.replace("\\", "\\\\")
+    wordy = r"[^\\x20\\x09-\\x0D]"
+    measures = f"""struct(cast(size(_w) as bigint) as n_words, cast(char_length(array_join(_w, '')) as bigint) as word_chars,
+      cast(regexp_count(_t, '[#*$%&|<>]') as bigint) as n_symbols, cast(size(_l) as bigint) as n_lines,
+      cast(size(_l) - size(array_distinct(_l)) as bigint) as n_dup_lines, cast({_repeat_words()} as bigint) as n_repeat_words)"""
+    rule = lambda text: re.sub(rf"\b({'|'.join(MEASURES)})\b", r"_m.\1", text)
+    bits = " | ".join(f"CASE WHEN {rule(text)} THEN {1 << i}L ELSE 0L END" for i, (_, text) in enumerate(RULES))
+    out = f"struct({', '.join(f'_m.{m} as {m}' for m in MEASURES)}, {bits} as fail_bits)"
+    return let(f"regexp_extract_all(_t, '{word}', 0)", "_w", let(f"filter(split(_t, '\n'), _x -> _x rlike '{wordy}')", "_l", let(measures, "_m", out)))
 
 
 def apply_policy(ledgered: DataFrame, policy: str = DEFAULT_POLICY, column: str = "quality") -> DataFrame:
