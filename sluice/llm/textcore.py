@@ -45,6 +45,18 @@ def strings(column):
     return column.fill_null("") if column.null_count else column
 
 
+def sliced(batches, column: int, limit: int = 8 << 20):
+    """The batches cut so that the texts of a column take `limit` bytes or are one text: what bounds a task's arrays."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, one after the other, and the words in each text."""
     import pyarrow as pa
@@ -80,17 +92,21 @@ class Rolling:
 
 
 def last_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the place of its smallest, the last of equals."""
+    """For each window of `width` values the place of its smallest (by the upper 40 bits), the last of equals."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    low, at = values[:n].copy(), np.arange(n)
-    for j in range(1, width):
-        next_ = values[j : j + n]
-        take = next_ <= low
-        np.copyto(low, next_, where=take)
-        at[take] = np.flatnonzero(take) + j
-    return at
+    low = U((1 << 24) - 1)
+    if len(values) > 1 << 24:  # places take 24 bits: longer arrays go by parts
+        half = 1 << 23
+        return np.concatenate([i + last_minimum(values[i : i + half + width - 1], width) for i in range(0, n, half)])
+    keys = (values & ~low) | (low - np.arange(len(values), dtype=U))
+    done = 1
+    while 2 * done <= width:
+        keys = np.minimum(keys[:-done], keys[done:])
+        done *= 2
+    keys = np.minimum(keys[:n], keys[width - done : width - done + n])
+    return (low - (keys & low)).astype(np.int64)
 
 
 def starts_within(counts: np.ndarray, width: int) -> np.ndarray:
