@@ -8,8 +8,7 @@ underestimates, so pass two, which groups only windows whose core is estimated t
 It groups exactly, by 128 bits of hash: each partition sends on the first place of each of its windows
 and settles the others itself, so no window has more rows than there are partitions, however common.
 
-The sketch has 8 cells for each expected core and MAX_CELLS at most, so its broadcast is bounded (one bit
-for each cell and row: 24 MB). Beyond that the filter lets more windows pass; the result stays the same.
+The sketch's size is bounded (see countmin.py); beyond the bound more windows pass and the result is the same.
 
 Defined cases: a null or empty text has no words and stays as it is, empty; a null doc_id is smaller than any
 other; rows with one doc_id and text count as one place and get equal results; extra columns of any name
@@ -22,22 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import countmin
 from sluice.llm import textcore as tc
 from sluice.llm.common import keyed, load, on_key
 
 WIDTH, CORE = 20, 11
-ROWS = 3
-MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 26
-#: Cells in a slice, the unit in which sketches are sent and merged.
-SLICE = 1 << 16
 NULL_ID = -(2**63)
 
 
-def _cells(cores: np.ndarray, row: int, cells: int) -> np.ndarray:
-    bits = cells.bit_length() - 1
-    return (((cores ^ (cores >> tc.U(31))) * tc.U(tc.MULTIPLIERS[row])) >> tc.U(64 - bits)).astype(np.int64)
-
-
 def _anchors(hashes, counts, width, core):
     """Window starts within the texts, and for each the place of its core."""
     starts = tc.starts_within(counts, width)
@@ -45,99 +36,32 @@ def _anchors(hashes, counts, width, core):
     return starts, at[starts]
 
 
-def _pack(places: np.ndarray) -> bytes:
-    """Cells set in a slice: a list of 16-bit places, or a bitmap once that is shorter."""
-    if len(places) < SLICE // 16:
-        return places.astype(np.uint16).tobytes()
-    bits = np.zeros(SLICE, bool)
-    bits[places] = True
-    return np.packbits(bits).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    if len(data) == SLICE // 8:
-        return np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
-    bits = np.zeros(SLICE, bool)
-    bits[np.frombuffer(data, np.uint16)] = True
-    return bits
-
-
-def sketch(texts: DataFrame, cells: int, width: int, core: int) -> dict[int, bytes]:
-    """Slice number -> bitmap of the cells counted twice or more, merged over all partitions of texts (doc_id, _th, _text)."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        found = [np.empty(0, tc.U)]
-        for batch in batches:
-            hashes, counts = tc.word_hashes(batch.column(0))
-            _, at = _anchors(hashes, counts, width, core)
-            at = np.unique(at)
-            found.append(tc.Rolling(hashes)(at, at + core))
-        cores = np.concatenate(found)
-        for row in range(ROWS):
-            at = np.sort(_cells(cores, row, cells))
-            new = np.ones(len(at), bool)
-            new[1:] = at[1:] != at[:-1]
-            once, again = at[new], np.unique(at[~new])
-            slices = np.unique(once // SLICE)
-            if not len(slices):
-                continue
-            cut = lambda x: np.split(x % SLICE, np.searchsorted(x, slices[1:] * SLICE))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slices + row * (cells // SLICE)), pa.array([_pack(x) for x in cut(once)], pa.binary()), pa.array([_pack(x) for x in cut(again)], pa.binary())], names=["s", "once", "again"]
-            )
-
-    def merge(batches):
-        import pyarrow as pa
-
-        now, one, two = None, None, None
-        for batch in batches:
-            for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(two).tobytes()], pa.binary())], names=["s", "bits"])
-                    now, one, two = s, np.zeros(SLICE, bool), np.zeros(SLICE, bool)
-                once = _unpack(a)
-                two |= _unpack(b) | (one & once)
-                one |= once
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(two).tobytes()], pa.binary())], names=["s", "bits"])
-
-    parts = texts.select("_text").mapInArrow(count, "s long, once binary, again binary")
-    merged = parts.repartition("s").sortWithinPartitions("s").mapInArrow(merge, "s long, bits binary")
-    return {r["s"]: bytes(r["bits"]) for r in merged.collect()}  # ROWS * MAX_CELLS bits at most
-
-
 def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """(doc_id, _th, starts): places (in words) where windows start that occurred earlier."""
     texts = keyed(docs).select("doc_id", "_th", "_text")
     n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     expected = n_bytes // 6 * 2 // (width - core + 2)
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (8 * expected // 3).bit_length()))
-    per_row = cells // SLICE
-    bits = np.zeros((ROWS, cells // 8), np.uint8)
-    for s, data in sketch(texts, cells, width, core).items():
-        bits[s // per_row, s % per_row * (SLICE // 8) : (s % per_row + 1) * (SLICE // 8)] = np.frombuffer(data, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def cores(column):
+        hashes, counts = tc.word_hashes(column)
+        at = np.unique(_anchors(hashes, counts, width, core)[1])
+        return tc.Rolling(hashes)(at, at + core)
+
+    shared = docs.sparkSession.sparkContext.broadcast(countmin.repeated(texts.select("_text"), cores, expected))
 
     def emit(batches):
         import pyarrow as pa
 
         two = shared.value
         keep = [[] for _ in range(5)]
-        for batch in batches:
+        for batch in tc.sliced(batches, 2):
             doc, th = (np.asarray(batch.column(i).fill_null(NULL_ID)) for i in (0, 1))
             hashes, counts = tc.word_hashes(batch.column(2))
             starts, at = _anchors(hashes, counts, width, core)
             if not len(starts):
                 continue
             places, where = np.unique(at, return_inverse=True)
-            cores = tc.Rolling(hashes)(places, places + core)
-            maybe = np.ones(len(cores), bool)
-            for row in range(ROWS):
-                cell = _cells(cores, row, cells)
-                maybe &= (two[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            maybe = countmin.maybe(two, tc.Rolling(hashes)(places, places + core))
             starts = starts[maybe[where]]
             owner = np.repeat(np.arange(len(counts)), counts)[starts]
             first = np.cumsum(counts) - counts
@@ -156,6 +80,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
         twin = np.zeros(len(a), bool)
         twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & (th[1:] == th[:-1])
         send = np.flatnonzero(~later & ~twin)
+        send = send[np.argsort(order[send])]  # as the documents stand: their ids repeat and are compressed
         for i in range(0, len(send), 50_000):
             k = send[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(a[k].view(np.int64)), pa.array(b[k].view(np.int64)), pa.array(doc[k]), pa.array(th[k]), pa.array(at[k].astype(np.int32)), pa.nulls(len(k), pa.binary())], names=names)
@@ -204,16 +129,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
 def cut(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """docs with n_words, n_removed (words) and _kept: the kept words joined by single blanks."""
     cols = docs.columns
-    row = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
-    row = row.withColumn("_th", F.xxhash64("_text"))
-    marked = on_key(row, repeated_windows(docs, width, core), "left").select(*[F.col("_row").getField(c).alias(c) for c in cols], "_text", "_starts")
+    row = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("_th"))
+    marked = on_key(row, repeated_windows(docs, width, core), "left").select(*[F.col("_row").getField(c).alias(c) for c in cols], "_starts")
 
     def keep(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for data, starts in zip(tc.binary(batch.column(len(cols))), batch.column(len(cols) + 1).to_pylist()):
+            for data, starts in zip(tc.binary(batch.column(cols.index("text"))), batch.column(len(cols)).to_pylist()):
                 words = data.split()
                 n_words.append(len(words))
                 if starts:
