@@ -9,7 +9,6 @@ compose), and key_by applies after all of them. After the reducer each operator
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -50,13 +49,10 @@ def _opaque(fn: Callable, returns: str) -> Callable[[Column], Column]:
 
     @F.pandas_udf(returns)
     def run(values: pd.Series) -> pd.Series:
-        return values.map(fn)
+        plain = values.to_dict("records") if isinstance(values, pd.DataFrame) else values  # a struct comes as a frame
+        return pd.Series([fn(v) for v in plain], dtype=object)
 
-    @F.pandas_udf(returns)
-    def run_struct(values: pd.DataFrame) -> pd.Series:
-        return pd.Series([fn(r) for r in values.to_dict("records")], dtype=object)
-
-    return lambda c: run_struct(c) if getattr(c, "_sluice_struct", False) else run(c)
+    return run
 
 
 @dataclass(frozen=True)
@@ -237,6 +233,3 @@ def emits(rows: DataFrame, sink: Step) -> DataFrame:
         partition = F.coalesce("partition", F.lit("Default"))
     return rows.select(F.lit(sink.config["queue"]).alias("queue"), partition.alias("partition"), F.to_json(wrapped).alias("payload"))
 
-
-def fingerprint(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
