@@ -261,7 +261,7 @@ def delete_message(messages: DataFrame, queue: str, partition: str, transaction_
 
 def expired(messages: DataFrame, now: int, retention: Column | int) -> DataFrame:
     """Messages older than the retention (seconds; a column may hold each queue's, 0 or null: keep)."""
-    seconds = F.lit(retention) if isinstance(retention, int) else retention
+    seconds = (F.lit(retention) if isinstance(retention, int) else retention).cast("long")
     return messages.filter((seconds > 0) & (F.col("created_at") < now - seconds * SECOND))
 
 

@@ -221,8 +221,8 @@ def context(rows: DataFrame) -> Column:
     return F.struct(*[c.alias(k) for k, c in cols.items()])
 
 
-def emits(rows: DataFrame, sink: Step) -> DataFrame:
-    """What the sink pushes: queue, partition, payload (a value that isn't a struct becomes {value}), in one row each."""
+def emits(rows: DataFrame, sink: Step, *more: Column) -> DataFrame:
+    """What the sink pushes: queue, partition, payload (a value that isn't a struct becomes {value}), in one row each, and more columns if wanted."""
     value = F.col("value")
     wrapped = value if rows.schema["value"].dataType.typeName() in ("struct", "map") else F.struct(value.alias("value"))
     if sink.fn is not None:
@@ -231,5 +231,5 @@ def emits(rows: DataFrame, sink: Step) -> DataFrame:
         partition = F.lit(sink.extra)
     else:
         partition = F.coalesce("partition", F.lit("Default"))
-    return rows.select(F.lit(sink.config["queue"]).alias("queue"), partition.alias("partition"), F.to_json(wrapped).alias("payload"))
+    return rows.select(F.lit(sink.config["queue"]).alias("queue"), partition.alias("partition"), F.to_json(wrapped).alias("payload"), *more)
 
