@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
@@ -34,7 +35,7 @@ def uuid7_micros(uuid: Column) -> Column:
     return F.conv(F.substring(F.replace(uuid, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long") * 1000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def uuid7(micros: pd.Series) -> pd.Series:
     """A fresh UUIDv7 for each time; ids of one batch keep the order of their rows within a millisecond. Write them once and read them back: recomputation makes others."""
     import secrets

@@ -9,10 +9,12 @@ compose), and key_by applies after all of them. After the reducer each operator
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,11 @@ class Compiled:
 
 
 def _opaque(fn: Callable, returns: str) -> Callable[[Column], Column]:
-    import pandas as pd
-
     @F.pandas_udf(returns)
     def run(values: pd.Series) -> pd.Series:
-        plain = values.to_dict("records") if isinstance(values, pd.DataFrame) else values  # a struct comes as a frame
-        return pd.Series([fn(v) for v in plain], dtype=object)
+        return pd.Series([fn(json.loads(v).get("v")) for v in values], dtype=object)
 
-    return run
+    return lambda c: run(F.to_json(F.struct(c.alias("v"))))  # structs of any depth travel as JSON
 
 
 @dataclass(frozen=True)

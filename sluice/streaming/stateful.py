@@ -110,7 +110,7 @@ class Backlog:
 
 
 def _records(frames: Iterator[pd.DataFrame]) -> list[tuple]:
-    return [(int(t), int(i), k, json.loads(v)) for f in frames for t, i, k, v in zip(f["ts"], f["id"], f["key"], f["value"])]
+    return [(int(t), int(i), k, json.loads(v).get("v")) for f in frames for t, i, k, v in zip(f["ts"], f["id"], f["key"], f["value"])]
 
 
 class _Processor(StatefulProcessor):
@@ -145,7 +145,7 @@ class WindowProcessor(_Processor):
         yield self.frame(key, out)
 
     def frame(self, key, out) -> pd.DataFrame:
-        return pd.DataFrame({"partition": [key[0]] * len(out), "key": [e[2] for e in out], "window_start": [e[0] for e in out], "window_end": [e[1] for e in out], "value": [json.dumps(e[3]) for e in out]}).astype({"window_start": "int64", "window_end": "int64"})
+        return pd.DataFrame({"partition": [key[0]] * len(out), "key": [e[2] for e in out], "window_start": [e[0] for e in out], "window_end": [e[1] for e in out], "value": [json.dumps(e[3]) for e in out]}).astype({"window_start": "int64", "window_end": "int64", "partition": object, "key": object, "value": object})
 
 
 class GateProcessor(_Processor):
@@ -158,7 +158,7 @@ class GateProcessor(_Processor):
         if state["waiting"]:
             self.handle.registerTimer(now + self.retry_ms)
         self.save(state)
-        yield pd.DataFrame({"partition": [key[0]] * len(out), "key": [r[2] for r in out], "ts": [r[0] for r in out], "id": [r[1] for r in out], "value": [json.dumps(r[3]) for r in out]}).astype({"ts": "int64", "id": "int64"})
+        yield pd.DataFrame({"partition": [key[0]] * len(out), "key": [r[2] for r in out], "ts": [r[0] for r in out], "id": [r[1] for r in out], "value": [json.dumps(r[3]) for r in out]}).astype({"ts": "int64", "id": "int64", "partition": object, "key": object, "value": object})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         yield from self._go(key, _records(rows), timerValues)
@@ -191,11 +191,9 @@ def aggregate_step(spec: dict) -> tuple[Callable, dict]:
 
 
 def _rows(stream: Stream, messages: DataFrame) -> DataFrame:
-    rows = stream.rows(messages)
-    kind = rows.schema["value"].dataType.typeName()
-    value = F.to_json("value") if kind in ("struct", "map", "array") else F.to_json(F.struct(F.col("value").alias("v")))
-    text = value if kind in ("struct", "map", "array") else F.coalesce(F.get_json_object(F.to_json(F.struct(F.col("value").alias("v"))), "$.v"), F.lit("null")) if kind != "string" else F.concat(F.lit('"'), F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return rows.select("partition", "key", "ts", "id", text.alias("value")).filter(F.col("ts").isNotNull())
+    """The processors' input: values travel as JSON. Rows without event time are left out."""
+    rows = stream.rows(messages).filter(F.col("ts").isNotNull())
+    return rows.select("partition", "key", "ts", "id", F.to_json(F.struct(F.col("value").alias("v"))).alias("value"))
 
 
 def windows(stream: Stream, messages: DataFrame) -> DataFrame:
