@@ -34,14 +34,18 @@ ROW_BYTES = 8
 
 
 def place(sizes, shards: int, total):
-    """Shard of each (bytes, tokens, rows) by the highest dot product with the residual capacity; sizes come largest first."""
+    """Shard of each (bytes, tokens, rows) by the highest dot product with the residual capacity; sizes come largest first.
+
+    The law is that of bytes, so the last tenth of them, the smallest, goes by bytes alone.
+    """
     import numpy as np
 
     share = np.asarray(sizes, dtype=float) / np.maximum(np.asarray(total, dtype=float), 1.0)
     left = np.full((shards, share.shape[1]), 1.0 / shards)
     out = np.empty(len(share), dtype=np.int32)
+    placed = np.cumsum(share[:, 0])
     for i, v in enumerate(share):
-        j = out[i] = int(np.argmax(left @ (v * WEIGHTS)))
+        j = out[i] = int(np.argmax(left @ (v * WEIGHTS) if placed[i] <= 0.9 else left[:, 0]))
         left[j] -= v
     return out
 
