@@ -83,9 +83,9 @@ def run(
     if subscription_from is not None:
         messages = messages.filter(F.col("created_at") >= subscription_from)
     if plan.gate is not None:
-        rows = stateful.gated(stream, messages)
+        rows = stateful.gated(stream, messages, interval is not None)
     elif strict and plan.window is not None and plan.reducer is not None:
-        rows = stateful.windows(stream, messages)
+        rows = stateful.windows(stream, messages, interval is not None)
     else:
         rows = native(stream, messages)
     if plan.sink is not None and plan.sink.kind == "sink":

@@ -129,12 +129,19 @@ class _Processor(StatefulProcessor):
 
 
 class WindowProcessor(_Processor):
-    def __init__(self, folds: Folds):
-        self.folds = folds
+    """timers: a partition with open windows is looked at again after the window's idle time."""
+
+    def __init__(self, folds: Folds, timers: bool):
+        self.folds, self.timers = folds, timers
+
+    def idle(self, state, timerValues) -> None:
+        if self.timers and state.get("open"):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.folds.window.idle_flush_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, out, _ = self.folds.batch(self.load(), _records(rows))
         self.save(state)
+        self.idle(state, timerValues)
         yield self.frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -142,6 +149,7 @@ class WindowProcessor(_Processor):
         clock = state.get("watermark") if self.folds.window.event_time is not None else timerValues.getCurrentProcessingTimeInMs() * 1000
         out = self.folds.close(state, clock) if "open" in state else []
         self.save(state)
+        self.idle(state, timerValues)
         yield self.frame(key, out)
 
     def frame(self, key, out) -> pd.DataFrame:
@@ -149,13 +157,17 @@ class WindowProcessor(_Processor):
 
 
 class GateProcessor(_Processor):
-    def __init__(self, backlog: Backlog, retry_ms: int = 100):
-        self.backlog, self.retry_ms = backlog, retry_ms
+    """timers: waiting rows are tried again after a while; else with the partition's next rows."""
+
+    def __init__(self, backlog: Backlog, timers: bool, retry_ms: int = 100):
+        self.backlog, self.timers, self.retry_ms = backlog, timers, retry_ms
 
     def _go(self, key, rows, timerValues):
-        now = timerValues.getCurrentProcessingTimeInMs()
+        import time
+
+        now = timerValues.getCurrentProcessingTimeInMs() if self.timers else int(time.time() * 1000)
         state, out = self.backlog.batch(self.load(), rows, now / 1000)
-        if state["waiting"]:
+        if self.timers and state["waiting"]:
             self.handle.registerTimer(now + self.retry_ms)
         self.save(state)
         yield pd.DataFrame({"partition": [key[0]] * len(out), "key": [r[2] for r in out], "ts": [r[0] for r in out], "id": [r[1] for r in out], "value": [json.dumps(r[3]) for r in out]}).astype({"ts": "int64", "id": "int64", "partition": object, "key": object, "value": object})
@@ -196,21 +208,25 @@ def _rows(stream: Stream, messages: DataFrame) -> DataFrame:
     return rows.select("partition", "key", "ts", "id", F.to_json(F.struct(F.col("value").alias("v"))).alias("value"))
 
 
-def windows(stream: Stream, messages: DataFrame) -> DataFrame:
-    """Closed windows with the reducer's value as JSON. Steps and extractors are Python over plain values."""
+def windows(stream: Stream, messages: DataFrame, timers: bool = False) -> DataFrame:
+    """Closed windows with the reducer's value as JSON. Steps and extractors are Python over plain values.
+
+    timers flushes idle partitions, for queries that keep running; a query that reads what there is and stops
+    must do without, or it would run empty batches for ever.
+    """
     plan = stream.compile()
     if plan.reducer.kind == "aggregate":
         step, initial = aggregate_step(plan.reducer.extra)
     else:
         step, initial = plan.reducer.fn, plan.reducer.extra
+    processor = WindowProcessor(Folds(plan.window, step, initial), timers)
     return _rows(stream, messages).groupBy("partition").transformWithStateInPandas(
-        WindowProcessor(Folds(plan.window, step, initial)), "partition string, key string, window_start long, window_end long, value string", "Append", "ProcessingTime"
+        processor, "partition string, key string, window_start long, window_end long, value string", "Append", "ProcessingTime" if timers else "None"
     )
 
 
-def gated(stream: Stream, messages: DataFrame) -> DataFrame:
+def gated(stream: Stream, messages: DataFrame, timers: bool = False) -> DataFrame:
     """Rows that the gate lets through, in order, the value as JSON."""
     gate = stream.compile().gate.fn
-    return _rows(stream, messages).groupBy("partition").transformWithStateInPandas(
-        GateProcessor(Backlog(gate.decide, gate.cost)), "partition string, key string, ts long, id long, value string", "Append", "ProcessingTime"
-    )
+    processor = GateProcessor(Backlog(gate.decide, gate.cost), timers)
+    return _rows(stream, messages).groupBy("partition").transformWithStateInPandas(processor, "partition string, key string, ts long, id long, value string", "Append", "ProcessingTime" if timers else "None")
