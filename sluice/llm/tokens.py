@@ -8,6 +8,7 @@ the pieces it has met; a repeated piece costs one dictionary look-up, and ids ar
 from __future__ import annotations
 
 import sys
+import unicodedata
 
 import numpy as np
 
@@ -16,7 +17,7 @@ from sluice.llm import textcore as tc
 #: The tokenizer's name among the public files, the parameter of every operator that tokenizes.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBER = 800_000
+REMEMBER = 600_000
 
 
 class Pieces(dict):
@@ -29,38 +30,53 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.new, self.joined = Tokenizer.from_file(path), [], []
+        self.tokenizer, self.new, self.ready, self.joined = Tokenizer.from_file(path), [], [], []
+        self.model = self.tokenizer.model
+        self.bytes = _byte_characters()
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        # what is taken for granted below is tried out: other tokenizers encode whole texts, or whole pieces
+        self.splits = all(ids(a + " " + b) == ids(a) + ids(b) == ids(f"\n{a.upper()}\t{b} ") for a, b in (("the", "cats"), ("eine", "straße.")))
+        self.letters = self.splits and all(ids(x) == self.word(x) for x in ("unbelievable", "straße", "élève", "привет", "ab"))
         self.forget()
 
+    def word(self, piece: str) -> list[int]:
+        """Ids of lower-case letters: one word to the tokenizer, so its model is asked directly."""
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))]
+
     def forget(self):
         self.clear()
         self.n, self.ids, self.start, self.length = 0, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __missing__(self, piece: str) -> int:
         # a full stop or comma after a letter is a token sequence of its own
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
+        if piece[-1:] in (".", ",") and self.splits and piece[-2:-1].isalpha():
             parts = (self[piece[:-1]], self[piece[-1:]])
             number = self.n
             self.joined.append((number, *parts))
         else:
             number = self.n
-            self.new.append((number, piece))
+            if self.letters and piece.isalpha() and piece.lower() == piece and unicodedata.is_normalized("NFC", piece):
+                self.ready.append((number, self.word(piece)))
+            else:
+                self.new.append((number, piece))
         self.n += 1
         self[piece] = number
         return number
 
     def settle(self):
         """Tokenizes the pieces met since the last call."""
-        if not self.new and not self.joined:
+        if not self.new and not self.ready and not self.joined:
             return
         known = len(self.start)
         lists: list = [None] * (self.n - known)
         for (number, _), e in zip(self.new, self.tokenizer.encode_batch_fast([p for _, p in self.new], add_special_tokens=False)):
             lists[number - known] = e.ids
+        for number, ids in self.ready:
+            lists[number - known] = ids
         of = lambda i: lists[i - known] if i >= known else self.ids[self.start[i] : self.start[i] + self.length[i]].tolist()
         for number, a, b in self.joined:
             lists[number - known] = of(a) + of(b)
-        self.new, self.joined = [], []
+        self.new, self.ready, self.joined = [], [], []
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(length.sum()))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
@@ -69,6 +85,8 @@ class Pieces(dict):
 
     def encode(self, column, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string column's texts, one after the other, and the ids in each; end is appended to each text."""
+        if not self.splits:
+            return self._whole(column, end)
         if self.n > REMEMBER:
             self.forget()
         distinct, number, counts = tc.split(_lowered(tc.strings(column)))
@@ -86,6 +104,20 @@ class Pieces(dict):
         return ids, n
 
 
+    def _whole(self, column, end):
+        found = self.tokenizer.encode_batch_fast(tc.strings(column).to_pylist(), add_special_tokens=False)
+        lists = [e.ids + ([] if end is None else [end]) for e in found]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((x for ids in lists for x in ids), np.int32, int(n.sum())), n
+
+
+def _byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def _lowered(column):
     """A-Z to a-z, the tokenizer's own first steps, so that there are fewer distinct pieces. Texts with combining marks or `<|` are left as they are: there the order of the steps matters."""
     import pyarrow as pa
