@@ -270,6 +270,11 @@ def overview(messages: DataFrame, cursors: DataFrame, dead: DataFrame, now: int,
     return m.select("*", key).join(late.select("*", key), "_one").join(gone.select("*", key), "_one").drop("_one")
 
 
+def grouped_by_path(rows: DataFrame, path: Column, **aggregates: Column) -> DataFrame:
+    """Aggregates by a path into a payload; rows without it are grouped under `null_key`."""
+    return rows.groupBy(F.coalesce(path.cast("string"), F.lit("null_key")).alias("key")).agg(*[c.alias(k) for k, c in aggregates.items()])
+
+
 def percentiles(rows: DataFrame, value: str, keys: list[str], at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Latency percentiles by nearest rank."""
     picks = [F.percentile_approx(value, F.lit(p), F.lit(1_000_000)).alias(f"p{round(p * 100)}") for p in at]

@@ -226,6 +226,32 @@ def seek(messages: DataFrame, cursors: DataFrame, group: str, queue: str | None
     return found.select(*LANE, F.lit(group).alias("consumer_group"), F.col("_to.at").alias("last_at"), F.col("_to.id").alias("last_id"))
 
 
+def subscriptions(queues: DataFrame, subs: DataFrame) -> DataFrame:
+    """(consumer_group, queue, start_at): each group's start on each queue (queue, namespace, task) it subscribes to.
+
+    A subscription names a queue, or leaves it blank and names a namespace or a task: a wildcard. The three
+    ways are equi-joins whose results are united; where several match, the earliest start holds.
+    """
+    blank = F.coalesce("queue", F.lit("")) == ""
+    named = subs.filter(~blank).select("consumer_group", "queue", "start_at").join(queues.select("queue"), "queue")
+    by = lambda c: subs.filter(blank & (F.coalesce(c, F.lit("")) != "")).select("consumer_group", c, "start_at").join(queues.select("queue", c), c)
+    cols = ["consumer_group", "queue", "start_at"]
+    met = named.select(*cols).union(by("namespace").select(*cols)).union(by("task").select(*cols))
+    return met.groupBy("consumer_group", "queue").agg(F.min("start_at").alias("start_at"))
+
+
+def consume(handler, each: bool = False):
+    """A foreachBatch function that hands a micro-batch to a handler, whole or by partition; the stream's checkpoint acknowledges it when the handler returns."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if each:
+            batch.foreachPartition(lambda rows: [handler(r) for r in rows] and None)
+        else:
+            handler(batch)
+
+    return run
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """table with rows in place of those with their keys; columns that rows lack are null."""
     return table.join(rows.select(*key), key, "left_anti").unionByName(rows, allowMissingColumns=True).select(*table.columns)

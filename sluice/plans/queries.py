@@ -588,6 +588,43 @@ def incremental_counts(spark, d):
     return a.incremental_counts(m, old).select(*q.LANE, "n")
 
 
+@query(
+    f"""SELECT consumer_group, queue, min(start_at) AS start_at FROM (SELECT 'a' AS consumer_group, queue, {FIRST} AS start_at FROM qn WHERE queue = 'error' UNION ALL SELECT 'a', queue, {SECOND_CUT} FROM qn WHERE namespace = 'web'
+  UNION ALL SELECT 'b', queue, {NOW} FROM qn WHERE task = 't1') GROUP BY consumer_group, queue""",
+    EV, "qn AS (SELECT DISTINCT queue, CASE WHEN queue IN ('error', 'view') THEN 'web' ELSE 'app' END AS namespace, CASE WHEN queue IN ('click', 'view') THEN 't1' ELSE 't2' END AS task FROM ev)",
+)
+def subscription_resolution(spark, d):
+    names = _named(from_events(spark, d).select("queue").distinct()).withColumn("task", F.when(F.col("queue").isin("click", "view"), "t1").otherwise("t2"))
+    subs = spark.createDataFrame([("a", "error", None, None, FIRST), ("a", "", "web", None, SECOND_CUT), ("b", None, None, "t1", NOW), ("c", "nowhere", None, None, NOW)], "consumer_group string, queue string, namespace string, task string, start_at long")
+    return q.subscriptions(names, subs)
+
+
+@query("SELECT coalesce(CASE WHEN k % 10 <> 0 THEN (k % 10)::VARCHAR END, 'null_key') AS key, count(*) AS n, sum(k)::BIGINT AS ks FROM ev GROUP BY 1", EV)
+def grouped_by_path(spark, d):
+    k = F.col("payload.k")
+    return a.grouped_by_path(from_events(spark, d), F.when(k % 10 != 0, k % 10), n=F.count(F.lit(1)), ks=F.sum(k).cast("long"))
+
+
+@query(f"SELECT queue, n::BIGINT AS total, (n - o)::DOUBLE / {(SECOND_CUT - FIRST) // q.SECOND} AS rate FROM (SELECT queue, count(*) FILTER (WHERE created_at <= {SECOND_CUT}) AS n, count(*) FILTER (WHERE created_at <= {FIRST}) AS o FROM ev GROUP BY queue)", EV)
+def rate_snapshots(spark, d):
+    m = from_events(spark, d)
+    shot = lambda t: m.filter(F.col("created_at") <= t).groupBy("queue").agg(F.count("*").alias("total")).withColumn("at", F.lit(t))
+    return a.rates(shot(SECOND_CUT), shot(FIRST)).drop("at")
+
+
+@query("SELECT partition, count(*) AS n, round(sum(k)::DOUBLE / count(*), 6) AS avg, min(k)::BIGINT AS low, max(k)::BIGINT AS high FROM ev GROUP BY partition", EV)
+def merged_samples(spark, d):
+    rows = from_events(spark, d).withColumn("k", F.col("payload.k").cast("long"))
+    parts = a.samples(rows, 3600, ["partition"], "k")
+    return a.merged_samples(parts, ["partition"]).withColumn("avg", F.round("avg", 6))
+
+
+@query("SELECT queue, quantile_disc(k, 0.5)::BIGINT AS p50, quantile_disc(k, 0.95)::BIGINT AS p95, quantile_disc(k, 0.99)::BIGINT AS p99 FROM ev GROUP BY queue", EV)
+def latency_percentiles(spark, d):
+    rows = from_events(spark, d).withColumn("k", F.col("payload.k").cast("long"))
+    return a.percentiles(rows, "k", ["queue"])
+
+
 # --- relational idioms and scalars ------------------------------------------------------------------
 
 
