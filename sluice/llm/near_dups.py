@@ -10,9 +10,11 @@ set are its sketch, and the inverted lists of the retained values count how ofte
    of unshared shingles. Its prefix is its rarest n // 4 + 1 shingles; two partners always share one of
    their prefixes (prefix filter), so the lists of prefix values hold all links.
 3. Each list is compared with its most central member (fewest unshared shingles): a number of pairs linear
-   in the lists, however large a group of near copies is. Pairs pass the estimate from their union sketch
-   and are then verified on whole sets. Members that this leaves in other components than their list's
-   centre are compared with the rest of their list; what is never compared is connected already.
+   in the lists, however large a group of near copies is. Members that this leaves in other components than
+   their list's centre are compared with those of the rest that can be similar at all: two sets share at most
+   what both share with the centre and what both share with anyone beside it, which bounds the partner's size
+   (a range of size classes). Those pairs pass the estimate from their union sketch and are verified on whole
+   sets. What is never compared is connected already or can't be similar.
 4. Components join the links.
 
 Steps 2 to 4 lose no link. Step 1 drops a linked node, and the estimate a link, only if sampling strays by
@@ -66,7 +68,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in tc.sliced(batches, 2):
             n, a, b, low = [], [], [], []
             for s in _sets(batch.column(2), shingle):
                 data = s.tobytes()
@@ -112,32 +114,59 @@ def _limited(table: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(table) if table.count() * bytes_per_row < BROADCAST_BYTES else table
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that the union sketch lets pass and whose whole sets are similar enough."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    of = lambda end: sets.select(F.col("node").alias(f"_{end}"), F.col("set").alias(f"set_{end}"))
+    return pairs.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, estimate: bool) -> DataFrame:
+    """(a, b, both, near): the size of the intersection of each pair's whole sets and whether they are similar; with estimate, only of pairs that the union sketch lets pass."""
 
     def exact(batches):
         import pyarrow as pa
 
         floor = NUM / DEN - MARGIN * math.sqrt(NUM * (DEN - NUM) / DEN**2 / K)
         for batch in batches:
-            keep = []
+            keep, shared, near = [], [], []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_py(), tc.U), np.frombuffer(y.as_py(), tc.U)
-                if min(len(x), len(y)) > K:
+                if estimate and min(len(x), len(y)) > K:
                     low = np.union1d(x[:K], y[:K])[:K]
                     if (np.isin(low, x[:K]) & np.isin(low, y[:K])).sum() < floor * K:
                         continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * DEN >= NUM * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
+                keep.append(i)
+                shared.append(both)
+                near.append(both * DEN >= NUM * (len(x) + len(y) - both))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "both", "near"])
+
+    return _with_sets(pairs, sets).mapInArrow(exact, "a long, b long, both long, near boolean")
+
 
-    of = lambda end: sets.select(F.col("node").alias(f"_{end}"), F.col("set").alias(f"set_{end}"), F.col("n").alias(f"n_{end}"))
-    # sizes first: they rule out pairs before any set moves
-    sized = pairs.join(of("a").drop("set_a"), F.col("a") == F.col("_a")).join(of("b").drop("set_b"), F.col("b") == F.col("_b"))
-    sized = sized.filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).select("a", "b")
-    rows = sized.join(of("a").drop("n_a"), F.col("a") == F.col("_a")).join(of("b").drop("n_b"), F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
-    return rows.mapInArrow(exact, "a long, b long")
+def _class(n):
+    """Size class: sizes of one class differ by 2 % at most."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.02)).cast("int")
+
+
+def _rest(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a centre's members in different components that may be similar; lists has v (the centre), node, n, met, both (shared with the centre), root, centre_root.
+
+    With o = what a member shares beside the centre, an intersection is at most min(both) + min(o).
+    """
+    beside = lists.withColumn("o", F.col("met") - F.col("both"))
+    widest = beside.groupBy("v").agg(F.max("o").alias("_wide")).withColumnRenamed("v", "_w")
+    y = beside.filter("root != centre_root").join(widest, F.col("v") == F.col("_w"))
+    most = F.col("both") + F.least("o", "_wide")
+    # similar sets satisfy (NUM + DEN) * intersection >= NUM * (n_x + n_y), so a partner's size has an upper bound
+    limit = F.floor(F.least(most * (NUM + DEN) / NUM - F.col("n"), F.col("n") * DEN / NUM))
+    floor_ = F.ceil(F.col("n") * NUM / DEN)
+    y = y.withColumn("_to", limit).withColumn("_from", floor_).filter("_to >= _from AND _from > 0")
+    y = y.select(F.col("v").alias("_v"), F.col("node").alias("_y"), F.col("n").alias("_n"), F.col("both").alias("_both"), F.col("o").alias("_o"), F.col("root").alias("_root"), F.explode(F.sequence(_class(F.col("_from")), _class(F.col("_to")))).alias("_c"))
+    x = beside.select("v", "node", "n", "both", "o", "root", _class(F.col("n")).alias("c"))
+    top = F.least("both", "_both") + F.least("o", "_o")
+    met = x.join(y, (F.col("v") == F.col("_v")) & (F.col("c") == F.col("_c")) & (F.col("root") != F.col("_root")) & (top * (NUM + DEN) >= NUM * (F.col("n") + F.col("_n"))))
+    return met.select(F.greatest("node", "_y").alias("a"), F.least("node", "_y").alias("b")).distinct()
 
 
 def duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -157,7 +186,7 @@ def duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def whole(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in tc.sliced(batches, 1):
             found = list(_sets(batch.column(1), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "set"])
 
@@ -168,25 +197,28 @@ def duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     tally = shared.groupBy("node").agg(F.count("*").alias("_met"), F.sum("df").alias("_df")).withColumnRenamed("node", "_n")
     alone = F.col("n") - F.col("_met")
     left = sets.select("node", "n").join(tally, F.col("node") == F.col("_n")).filter(alone * DEN <= (DEN - NUM) * F.col("n"))
-    left = left.select(F.col("node").alias("_n"), (F.floor(F.col("n") * (DEN - NUM) / DEN) + 1 - alone).alias("_take"), F.struct((alone * 1000 / F.col("n")).cast("int").alias("c"), (-F.col("_df") / F.col("n")).cast("long").alias("d"), F.col("node").alias("node")).alias("rank"))
+    left = left.select(F.col("node").alias("_n"), (F.floor(F.col("n") * (DEN - NUM) / DEN) + 1 - alone).alias("_take"), F.struct((alone * 1000 / F.col("n")).cast("int").alias("c"), (-F.col("_df") / F.col("n")).cast("long").alias("d"), F.col("node").alias("node")).alias("rank"), "n", F.col("_met").alias("met"))
     ranked = shared.join(left, F.col("node") == F.col("_n"))
     order = W.partitionBy("node").orderBy("df", "v")  # a node's shingles, at most a document
-    lists = stored(ranked.withColumn("_i", F.row_number().over(order)).filter("_i <= _take").select("v", "node", "rank"), "lists")
+    lists = stored(ranked.withColumn("_i", F.row_number().over(order)).filter("_i <= _take").select("v", "node", "rank", "n", "met"), "lists")
 
     # 3: every list against its centre, then what that left apart
     centre = lists.groupBy("v").agg(F.min("rank").alias("_r"), F.count("*").alias("_l")).filter("_l > 1").select(F.col("v").alias("_v"), F.col("_r.node").alias("_c"))
-    against = checkpoint(lists.join(centre, F.col("v") == F.col("_v")).select("v", "node", "_c"))
-    pair = lambda x, y: [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-    links = checkpoint(_verified(against.filter("node != _c").select(*pair("node", "_c")).distinct(), sets))
+    against = stored(lists.join(centre, F.col("v") == F.col("_v")).select("v", "node", "n", "met", "_c"), "against")
+    star = stored(_overlaps(against.filter("node != _c").select(F.col("node").alias("a"), F.col("_c").alias("b")).distinct(), sets, False), "star")
+    links = star.filter("near").select("a", "b")
     found = checkpoint(components(links))
     root = lambda c: F.coalesce(F.col("root"), F.col(c))
     label = found.withColumnRenamed("node", "_k")
-    rooted = against.join(label, F.col("node") == F.col("_k"), "left").select("v", "node", "_c", root("node").alias("_rn"))
-    rooted = rooted.join(label, F.col("_c") == F.col("_k"), "left").select("v", "node", "_rn", root("_c").alias("_rc"))
-    rooted = checkpoint(rooted)
-    apart = rooted.filter("_rn != _rc").select(F.col("v").alias("_v"), F.col("node").alias("_y"), F.col("_rn").alias("_ry"))
-    rest = rooted.join(apart, F.col("v") == F.col("_v")).filter("node != _y AND _rn != _ry").select(*pair("node", "_y")).distinct()
-    more = checkpoint(_verified(rest, sets))
+    rooted = against.join(label, F.col("node") == F.col("_k"), "left").select("v", "node", "n", "met", "_c", root("node").alias("_rn"))
+    rooted = rooted.join(label, F.col("_c") == F.col("_k"), "left").select("v", "node", "n", "met", "_c", F.col("_rn"), root("_c").alias("centre_root"))
+    # lists of one centre are one here: what a member shares with the centre, and so what it may share beside it, is the same in all
+    joint = rooted.select(F.col("_c").alias("v"), "node", "n", "met", F.col("_rn").alias("root"), "centre_root").distinct()
+    apart = joint.filter("root != centre_root").select(F.col("v").alias("_v")).distinct()  # the others are connected
+    open_ = joint.join(apart, F.col("v") == F.col("_v"), "left_semi")
+    shared_with = star.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "both")
+    open_ = open_.join(shared_with, (F.col("node") == F.col("_a")) & (F.col("v") == F.col("_b")), "left").select("v", "node", "n", "met", F.coalesce("both", "met").alias("both"), "root", "centre_root")
+    more = stored(_overlaps(_rest(stored(open_, "open")), sets, True).filter("near").select("a", "b"), "more")
     if not more.isEmpty():
         found = checkpoint(components(links.union(more)))
 
