@@ -71,4 +71,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table written to the shared folder: lineage is cut and later reads take only the columns they use."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sluice_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark delete the shuffle files of plans that are done."""
+    import gc
+
+    spark = tables[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        where = jvm.org.apache.hadoop.fs.Path(t._sluice_path)
+        where.getFileSystem(conf).delete(where, True)
+    gc.collect()
+    jvm.System.gc()

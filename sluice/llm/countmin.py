@@ -40,14 +40,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return bits
 
 
-def repeated(texts: DataFrame, hashes, expected: int) -> np.ndarray:
-    """Bitmaps (ROWS, cells / 8) of the cells counted twice; hashes(column) gives those of a column of texts (the frame's only one)."""
+def repeated(texts: DataFrame, hashes, expected: int, limit: int = 8 << 20) -> np.ndarray:
+    """Bitmaps (ROWS, cells / 8) of the cells counted twice; hashes(column) gives those of a column of texts (the frame's only one), of at most `limit` bytes."""
     cells = min(MAX_CELLS, max(MIN_CELLS, 1 << (8 * expected // 3).bit_length()))
 
     def count(batches):
         import pyarrow as pa
 
-        found = [np.empty(0, tc.U), *(hashes(batch.column(0)) for batch in tc.sliced(batches, 0))]
+        found = [np.empty(0, tc.U), *(hashes(batch.column(0)) for batch in tc.sliced(batches, 0, limit))]
         all_ = np.concatenate(found)
         for row in range(ROWS):
             at = np.sort(_cells(all_, row, cells))
