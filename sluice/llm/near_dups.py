@@ -45,6 +45,8 @@ NUM, DEN = 3, 4
 #: A side below this is broadcast; its size is counted first.
 BROADCAST_BYTES = 32 << 20
 NULL_ID = -(2**63)
+#: Bytes of text that a worker has in hand at once.
+_SLICE = 4 << 20
 
 
 def _sets(column, shingle: int):
@@ -68,7 +70,8 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in tc.sliced(batches, 2):
+        tc.tidy()
+        for batch in tc.sliced(batches, 2, _SLICE):
             n, a, b, low = [], [], [], []
             for s in _sets(batch.column(2), shingle):
                 data = s.tobytes()
@@ -186,7 +189,8 @@ def duplicate_classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def whole(batches):
         import pyarrow as pa
 
-        for batch in tc.sliced(batches, 1):
+        tc.tidy()
+        for batch in tc.sliced(batches, 1, _SLICE):
             found = list(_sets(batch.column(1), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "n", "set"])
 

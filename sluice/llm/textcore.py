@@ -45,6 +45,18 @@ def strings(column):
     return column.fill_null("") if column.null_count else column
 
 
+def tidy() -> None:
+    """Gives back what a reused worker holds for other operators: the tokenizer's pieces and Arrow's free memory."""
+    import gc
+
+    import pyarrow as pa
+
+    if getattr(sys, "_sluice_pieces", None):
+        sys._sluice_pieces.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def sliced(batches, column: int, limit: int = 8 << 20):
     """The batches cut so that the texts of a column take `limit` bytes or are one text: what bounds a task's arrays."""
     import pyarrow.compute as pc

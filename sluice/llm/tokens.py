@@ -17,7 +17,7 @@ from sluice.llm import textcore as tc
 #: The tokenizer's name among the public files, the parameter of every operator that tokenizes.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBER = 600_000
+REMEMBER = 500_000
 
 
 class Pieces(dict):
