@@ -4,8 +4,9 @@ A document's set holds its distinct 5-word shingles; equal sets are one node. Th
 set are its sketch, and the inverted lists of the retained values count how often each occurs.
 
 1. Overlaps. A value retained once is shared with nobody. A partner at similarity 3/4 shares three
-   quarters of a set, so a node whose sketch holds more unshared values than sampling allows (exactly a
-   quarter if the sketch is the whole set) has no partner and is dropped, most documents at once.
+   quarters of a set, so a node whose sketch holds more unshared values than sampling allows (if the sketch
+   is the whole set: than a quarter, or than a partner of over K shingles can have cut from its own sketch)
+   has no partner and is dropped, most documents at once.
 2. The whole sets of the nodes left are counted the same way, now exactly: a node keeps at most a quarter
    of unshared shingles. Its prefix is its rarest n // 4 + 1 shingles; two partners always share one of
    their prefixes (prefix filter), so the lists of prefix values hold all links.
@@ -101,9 +102,13 @@ def _values(table: DataFrame, column: str) -> DataFrame:
 
 
 def _allowed(n):
-    """Unshared values that a sketch of a set of n may hold if the set has a partner."""
+    """Unshared values that a sketch of a set of n may hold if the set has a partner.
+
+    For n <= K a bound, not an estimate: the two sets' union has at most n * DEN / NUM values, and those missing
+    from the partner's sketch are in the union beyond the partner's whole set, or beyond its K smallest values.
+    """
     spread = K / DEN + MARGIN * math.sqrt(K * NUM / DEN**2)
-    return F.when(n <= K, F.floor(n * (DEN - NUM) / DEN)).otherwise(F.lit(math.ceil(spread)))
+    return F.when(n <= K, F.greatest(F.floor(n * (DEN - NUM) / DEN), F.floor(n * DEN / NUM) - K)).otherwise(F.lit(math.ceil(spread)))
 
 
 def _shared(values: DataFrame) -> DataFrame:
