@@ -13,3 +13,20 @@ def test_small_sets_in_larger_ones_are_linked(spark):
     out = near_dups.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.n for x in out} == {n for pair in sizes for n in pair}
     assert {x.doc_id: x.component for x in out} == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_long_runs_of_one_or_two_lines_are_deleted(spark):
+    from sluice.llm import line_dedup
+
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    long_, half, other, few = words("a", 50), words("b", 25), words("c", 25), words("d", 49)
+    rows = [
+        (1, f"{long_}\nx"), (2, long_), (3, f"y\n{long_}\n\nz"),  # one line, also as a whole document
+        (4, f"{half}\n{other}"), (5, f"p\n{half}\n\n{other}\nq\nr"), (6, f"{half}\nu\n{other}"), (7, f"{other}\n{half}"),  # two lines in that order
+        (8, few), (9, few), (10, f"m\n{few}\nn\no"),  # a word short of it
+        (11, "i\nj\nk"), (12, "g\ni\nj\nk"), (13, None), (14, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(rows) | {2: "", 3: "y\n\nz", 5: "p\n\nq\nr", 12: "g"}
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()} == want
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, long_words=None).collect()} == dict(rows) | {12: "g"}
