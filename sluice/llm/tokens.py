@@ -37,19 +37,28 @@ class Pieces(dict):
         # what is taken for granted below is tried out: other tokenizers encode whole texts, or whole pieces
         self.splits = all(ids(a + " " + b) == ids(a) + ids(b) == ids(f"\n{a.upper()}\t{b} ") for a, b in (("the", "cats"), ("eine", "straße.")))
         self.letters = self.splits and all(ids(x) == self.word(x) for x in ("unbelievable", "straße", "élève", "привет", "ab"))
+        self.ends: dict[str, bool] = {}
         self.forget()
 
     def word(self, piece: str) -> list[int]:
         """Ids of lower-case letters: one word to the tokenizer, so its model is asked directly."""
         return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))]
 
+    def apart(self, end: str) -> bool:
+        """Whether the tokenizer parts a stop from the letter before it: some letters become letter and mark, and a mark joins the stop."""
+        if end not in self.ends:
+            normalizer, parted = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            found = parted.pre_tokenize_str(normalizer.normalize_str(end) if normalizer else end) if parted else []
+            self.ends[end] = len(found) > 1 and found[-1][0] == end[-1]
+        return self.ends[end]
+
     def forget(self):
         self.clear()
         self.n, self.ids, self.start, self.length = 0, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def __missing__(self, piece: str) -> int:
-        # a full stop or comma after a letter is a token sequence of its own
-        if piece[-1:] in (".", ",") and self.splits and piece[-2:-1].isalpha():
+        # a full stop or comma after most letters is a token sequence of its own
+        if piece[-1:] in (".", ",") and self.splits and piece[-2:-1].isalpha() and self.apart(piece[-2:]):
             parts = (self[piece[:-1]], self[piece[-1:]])
             number = self.n
             self.joined.append((number, *parts))

@@ -30,3 +30,16 @@ def test_long_runs_of_one_or_two_lines_are_deleted(spark):
     want = dict(rows) | {2: "", 3: "y\n\nz", 5: "p\n\nq\nr", 12: "g"}
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs).collect()} == want
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, long_words=None).collect()} == dict(rows) | {12: "g"}
+
+
+def test_stops_after_letters_that_become_letter_and_mark():
+    import public_tokenizers
+    import pyarrow as pa
+    from sluice.llm import tokens
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    texts = ["bekledİ.", "x bekledİ, y", "হয়,", "হয়.", "कड़,", "कड़. a", "élève. straße, ΣΑΣ."]
+    ids, n = tokens.pieces().encode(pa.array(texts))
+    for x, end, k in zip(texts, n.cumsum().tolist(), n.tolist()):
+        assert ids[end - k : end].tolist() == t.encode(x, add_special_tokens=False).ids, x
