@@ -8,8 +8,9 @@ of its own length, with its hash as fingerprint.
 
 The benchmark's side is broadcast only while its size, checked at run time, is below BROADCAST_BYTES;
 beyond, the same joins shuffle. Defined cases: null or empty texts have no words and no hits; an item
-without words matches nothing; a null item_id can't be named and its item is left out; repeated rows get
-equal results; other columns, of any name, are not read; empty tables give no rows or no hits.
+without words matches nothing; an item with a null item_id makes hits, but is not named in items (only the
+query leaves its windows out, as its SQL does: unnamed=False); repeated rows get equal results; other
+columns, of any name, are not read; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ def _grams(n: int) -> str:
     return f"CASE WHEN size(_w) < {n} THEN array() ELSE transform(sequence(1, size(_w) - {n - 1}), _i -> xxhash64(slice(_w, _i, {n}))) END"
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(n, f, window, items): each distinct window with its length, fingerprint and the items that hold it."""
-    split = benchmark.select(F.col("item_id").alias("_item"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w")).filter(F.size("_w") > 0).filter(F.col("_item").isNotNull())
+def benchmark_windows(benchmark: DataFrame, unnamed: bool = True) -> DataFrame:
+    """(n, f, window, items): each distinct window with its length, fingerprint and the items that hold it; unnamed takes items with a null id too."""
+    split = benchmark.select(F.col("item_id").alias("_item"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_w")).filter(F.size("_w") > 0)
+    split = split if unnamed else split.filter(F.col("_item").isNotNull())
     cut = split.select(
         "_item",
         F.explode(
@@ -58,9 +60,9 @@ def _fingerprints(n: int) -> str:
     return _minima() if n == WINDOW else _grams(n)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, unnamed: bool = True) -> DataFrame:
     """Per document: doc_id, _th (the text's hash), n_words, hits (array of word places), items (array of item_ids). One row for each row of docs."""
-    bench = checkpoint(benchmark_windows(benchmark))
+    bench = checkpoint(benchmark_windows(benchmark, unnamed))
     lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # at most WINDOW numbers
     split = keyed(docs).select("doc_id", "_th", words(F.col("_text")).alias("_w"))
     # beside its fingerprints each row sends its number of words, under a key that no window has
@@ -109,7 +111,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = contamination(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"))
+    out = contamination(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark", "item_id", "text"), unnamed=False)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 

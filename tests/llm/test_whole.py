@@ -43,3 +43,13 @@ def test_stops_after_letters_that_become_letter_and_mark():
     ids, n = tokens.pieces().encode(pa.array(texts))
     for x, end, k in zip(texts, n.cumsum().tolist(), n.tolist()):
         assert ids[end - k : end].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_benchmark_items_without_a_name_are_found(spark):
+    from sluice.llm import decontaminate
+
+    bench = spark.createDataFrame([(None, "one two three four five six seven eight nine ten eleven"), (7, "alpha beta"), (None, "alpha beta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "say one two three four five six seven eight nine ten eleven"), (2, "alpha beta gamma"), (3, "gamma")], "doc_id long, text string")
+    found = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert found == {1: (11, []), 2: (2, [7]), 3: (0, [])}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
