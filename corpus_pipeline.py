@@ -36,8 +36,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids, one row for each piece (operator 5)."""
-    return packing.pack(docs)
+    """Sequences of at most 2048 ids, one row with its ids for each piece (operator 5)."""
+    return packing.pack(docs, ids=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontamination", benchmark), ("packing", pack)]

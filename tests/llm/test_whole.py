@@ -53,3 +53,11 @@ def test_benchmark_items_without_a_name_are_found(spark):
     found = {r.doc_id: (len(r.hits), r["items"]) for r in decontaminate.contamination(docs, bench).collect()}
     assert found == {1: (11, []), 2: (2, [7]), 3: (0, [])}
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_the_pipeline_gives_ids(spark, tables):
+    import corpus_pipeline
+    from test_operators import crc
+
+    found = corpus_pipeline.pack(spark, spark.read.parquet(f"{tables['full']}/documents.parquet"), tables["full"]).collect()
+    assert found and all(len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 for r in found)
