@@ -1,14 +1,15 @@
 """Adaptive context-mixing range coder over token ids, many blocks in lockstep.
 
-A block is coded on its own: its model starts afresh and its checksums are its own. For each id the
-order-2 context (two ids before) and the order-1 context each predict the id they last saw, with a
-confidence from their recent hits. A four-way decision is coded first: order 2 is right, order 1 is right,
-the id is in the order-0 distribution, or it is new. Its probabilities mix two adaptive tables by adding
-their counts: one by the confidences and agreement of the predictions, one by the last three decisions.
-An id that both contexts missed is coded by order 0: the ids of the block so far, taken over whenever
-their number doubles, with their counts as frequencies. A new id is coded as 16 plain bits.
-
-All numpy arrays run over the blocks of a frame ("lanes"): step t codes the t-th id of every block.
+A block is coded on its own: its model starts afresh and its checksums are its own. For each id the order-2
+context (two ids before) and the order-1 context each predict the id they last saw, with a confidence from
+their recent hits; order 0 is the distribution of the ids of the whole frame (`Table`, kept in its head). A
+decision is coded first: order 2 is right, order 1 is right, or neither, and the id then goes by order 0. The
+decision's probabilities mix two adaptive tables by adding their counts: one by the confidences and agreement
+of the predictions, one by the last three decisions. Ids are any unsigned 32-bit numbers.
+
+Of the coder's state a block keeps 48 bits; words of 16 bits leave it from above, and a carry is added to
+the words that left before. All numpy arrays run over the blocks of a frame ("lanes"): step t codes the
+t-th id of every block.
 """
 
 from __future__ import annotations
@@ -21,54 +22,89 @@ from sluice.llm import textcore as tc
 
 BLOCK = 2048
 _BITS = 11  # of a context table
-_STEP, _LIMIT, _FIRST = 24, 1 << 12, 32
-_M48, _TOP, _BOT = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 16)
-_W16 = np.uint64(16)
-
-
-_ONES = np.uint64(0x0001000100010001)
-_HALF = np.uint64(0x7FFF7FFF7FFF7FFF)
-_48 = np.uint64(48)
+_STEP, _LIMIT = 24, 1 << 12
+U = np.uint64
+_STATE, _TOP, _MASK, _W16, _W32, _W48 = U(1 << 48), U(1 << 32), U((1 << 48) - 1), U(16), U(32), U(48)
+_ONES, _HALF, _FIELD = U(0x0001000100010001), U(0x7FFF7FFF7FFF7FFF), U(0xFFFF)
+
+
+class Table:
+    """The order-0 distribution: distinct ids in ascending order, their frequencies out of 2**bits, each 1 at least, and the sums before them."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray, bits: int):
+        self.ids, self.freq, self.bits = ids, freq.astype(U), bits
+        self.before = np.cumsum(self.freq) - self.freq
+        self.at = np.repeat(np.arange(len(ids), dtype=np.int32), freq)  # the number of the id that holds a place
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple["Table", np.ndarray]:
+        """The distribution of ids, and their numbers in it."""
+        top = int(ids.max()) + 1 if len(ids) else 0
+        if top <= 4 * len(ids) + (1 << 20):
+            counts = np.bincount(ids, minlength=top)
+            distinct = np.flatnonzero(counts)
+            counts, number = counts[distinct], np.empty(top, np.int32)
+            number[distinct] = np.arange(len(distinct))
+            numbers = number[ids]
+        else:
+            distinct, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        bits = max(16, (2 * len(distinct)).bit_length())
+        freq = 1 + counts * ((1 << bits) - len(distinct)) // max(1, len(ids))
+        if len(freq):
+            freq[np.argmax(freq)] += (1 << bits) - freq.sum()
+        return cls(distinct.astype(np.uint32), freq.astype(np.int64), bits), numbers.astype(np.int32)
+
+    def dump(self) -> bytes:
+        steps = np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4")
+        return bytes([self.bits]) + zlib.compress(steps.tobytes() + self.freq.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def load(cls, data: bytes) -> "Table":
+        raw = np.frombuffer(zlib.decompress(data[1:]), "<u4")
+        n = len(raw) // 2
+        return cls(np.cumsum(raw[:n].astype(np.int64)).astype(np.uint32), raw[n:].astype(np.int64), data[0])
 
 
 class Model:
-    """A row of four counts is one 64-bit number of four 16-bit fields; a context's id and confidence are one number, too."""
+    """A row of counts is one 64-bit number of 16-bit fields, one for each decision; a context's id and confidence are one number, too."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+        lane = np.arange(lanes)
+        self.high, self.row_a0, self.row_b0 = lane << _BITS, lane << 5, lane << 6
         self.seen1, self.seen2 = np.zeros(lanes << _BITS, np.int32), np.zeros(lanes << _BITS, np.int32)
         self.by_state, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 64, 2 * _ONES)
+        for table in (self.by_state, self.by_past):
+            table &= U((1 << 48) - 1)  # three decisions
         self.past = np.zeros(lanes, np.int64)
         self.x1, self.x2 = np.full(lanes, 65535, np.int64), np.full(lanes, 65535, np.int64)
-        self.known = 0
 
     def predict(self, m: int):
-        """For the first m lanes what the contexts predict, and the frequencies of the four decisions, alone and summed up."""
-        lane, mask = self.lane[:m], (1 << _BITS) - 1
+        """For the first m lanes what the contexts predict, and the frequencies of the decisions, alone and summed up."""
+        mask, high = (1 << _BITS) - 1, self.high[:m]
         k = self.x1[:m] * 40503
-        high = lane << _BITS
         self.at1, self.at2 = high + (k >> 5 & mask), high + (k + self.x2[:m] * 30011 >> 4 & mask)
         s1, s2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
         self.p1, self.p2, self.c1, self.c2 = s1 >> 2, s2 >> 2, s1 & 3, s2 & 3
-        self.row_a = (lane << 5) + ((self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2))
-        self.row_b = (lane << 6) + self.past[:m]
-        self.freq = self.by_state.take(self.row_a) + self.by_past.take(self.row_b)
-        self.sums = self.freq * _ONES
-        self.total = self.sums >> _48
+        self.row_a = self.row_a0[:m] + ((self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2))
+        self.row_b = self.row_b0[:m] + self.past[:m]
+        self.of_a, self.of_b = self.by_state.take(self.row_a), self.by_past.take(self.row_b)
+        self.freq = self.of_a + self.of_b
+        self.sums = self.freq * _ONES  # field k: the sum of fields up to k
+        self.total = self.sums >> _W48
 
     def span(self, decision: np.ndarray):
-        """Start and frequency of the decisions."""
-        shift = decision.astype(np.uint64) << np.uint64(4)
-        freq = self.freq >> shift & np.uint64(0xFFFF)
-        return (self.sums >> shift & np.uint64(0xFFFF)) - freq, freq
-
-    def update(self, m: int, t: int, x: np.ndarray, decision: np.ndarray):
-        step = np.uint64(_STEP) << (decision.astype(np.uint64) << np.uint64(4))
-        for table, row in ((self.by_state, self.row_a), (self.by_past, self.row_b)):
-            now = table.take(row) + step
+        """Start and frequency of the decisions, and the shift to their field."""
+        shift = decision.astype(U) << U(4)
+        freq = self.freq >> shift & _FIELD
+        return (self.sums >> shift & _FIELD) - freq, freq, shift
+
+    def update(self, m: int, t: int, x: np.ndarray, decision: np.ndarray, shift: np.ndarray):
+        step = U(_STEP) << shift
+        for table, row, now in ((self.by_state, self.row_a, self.of_a), (self.by_past, self.row_b, self.of_b)):
+            now = now + step
             if t % 64 == 0:
-                full = now * _ONES >> _48 > _LIMIT
-                now[full] = (now[full] >> np.uint64(1) & _HALF) + _ONES
+                full = now * _ONES >> _W48 > _LIMIT
+                now[full] = (now[full] >> U(1) & _HALF) + (_ONES & _MASK)
             table[row] = now
         x4 = x << 2
         self.seen1[self.at1] = x4 | np.where(self.p1 == x, np.minimum(self.c1 + 1, 3), 1)
@@ -76,161 +112,122 @@ class Model:
         self.past[:m] = (self.past[:m] << 2 | decision) & 63
         self.x2[:m], self.x1[:m] = self.x1[:m], x
 
-    def step(self, t: int, done: np.ndarray):
-        """Before step t: takes over the order-0 distribution when the ids so far have doubled."""
-        if t >= _FIRST and t & (t - 1) == 0:
-            self.known = t
-            ids = np.sort(done[:, :t].astype(np.uint16), axis=1)
-            place = np.arange(t, dtype=np.int32)
-            new = np.ones(ids.shape, bool)
-            new[:, 1:] = ids[:, 1:] != ids[:, :-1]
-            last = np.ones(ids.shape, bool)
-            last[:, :-1] = new[:, 1:]
-            self.left = np.maximum.accumulate(np.where(new, place, 0), axis=1).ravel()
-            self.right = np.minimum.accumulate(np.where(last, place + 1, t)[:, ::-1], axis=1)[:, ::-1].ravel()
-            self.sorted = ids.ravel()
-
-    def find(self, lane: np.ndarray, x: np.ndarray):
-        """Place of x in the joined order-0 distributions, and whether its lane has it."""
-        if not self.known:
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        x, at, half = x.astype(np.uint16), lane * self.known, self.known >> 1
-        while half:
-            at += (self.sorted.take(at + (half - 1)) < x) * half
-            half >>= 1
-        # known is a power of two, so the last place may still be one short; it is never beyond the lane
-        at += (self.sorted.take(at) < x) & ((at + 1) % self.known != 0)
-        return at, self.sorted.take(at) == x
-
-
-def _settled(low, span):
-    """Places of the lanes that must move a word out, after cutting the span of those that would wait too long."""
-    k = np.flatnonzero(span < _TOP)
-    lo, sp = low.take(k), span.take(k)
-    same = (lo ^ (lo + sp)) < _TOP
-    short = ~same & (sp < _BOT)
-    if short.any():
-        cut = k[short]
-        span[cut] = (np.uint64(0) - low[cut]) & (_BOT - np.uint64(1))
-        same |= short
-    return k[same]
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, bytes]]:
-    """Blocks of the ids: for each the number of ids and its words."""
-    n = len(ids)
+
+def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[int, bytes]]:
+    """Blocks of ids, given by their numbers in the table: for each the number of ids and its words."""
+    n = len(numbers)
     lanes = -(-n // block)
-    x = np.zeros((lanes, block), np.int32)
-    x.ravel()[:n] = ids
+    if not lanes:
+        return []
     last = n - (lanes - 1) * block
-    model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _M48, np.uint64)
-    out, used = np.zeros((lanes, 2 * block + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def code(which, start, freq, total):
-        lo, sp = low[which], span[which]
-        r = sp // total
-        lo = lo + start * r  # low + span stays within 48 bits
-        sp = freq * r
-        move = _settled(lo, sp)
-        while len(move):
-            w, a, b = which[move], lo[move], sp[move]
-            out.put(w * width_out + used[w], a >> np.uint64(32))
-            used[w] += 1
-            a, b = (a << _W16) & _M48, b << _W16
-            again = _settled(a, b)
-            lo[move], sp[move] = a, b
-            move = move[again]
-        low[which], span[which] = lo, sp
-
-    width_out = out.shape[1]
+    x = np.zeros(lanes * block, np.int32)
+    x[:n] = numbers
+    x = np.ascontiguousarray(x.reshape(lanes, block).T)  # a step's ids lie together
+    model, bits = Model(lanes), U(table.bits)
+    low, span = np.zeros(lanes, U), np.full(lanes, _STATE)
+    width = 2 * block + 8
+    out, to = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+
+    def moved(lo, sp, m):
+        """Takes carries over and moves words out until every span is large enough."""
+        over = np.flatnonzero(lo >> _W48)
+        if len(over):
+            out[to[over] - 1] += 1
+            lo &= _MASK
+        small = sp < _TOP
+        while small.any():
+            out[to[:m]] = lo >> _W32  # where none leaves, the next word comes here
+            to[:m] += small
+            shift = small.astype(U) << U(4)
+            lo = (lo << shift) & _MASK
+            sp = sp << shift
+            small = sp < _TOP
+        return lo, sp
+
     for t in range(block if lanes > 1 else last):
         m = lanes if t < last else lanes - 1
-        if not m:
-            break
-        model.step(t, x)
         model.predict(m)
-        now = x[:m, t]
+        now = x[t, :m]
         right1, right2 = (model.p1 == now) & (model.c1 > 0), (model.p2 == now) & (model.c2 > 0)
-        decision = np.where(right2, 0, np.where(right1, 1, 3))
-        missed = np.flatnonzero(decision == 3)
-        at, there = model.find(missed, now[missed])
-        decision[missed[there]] = 2
-        code(model.lane[:m], *model.span(decision), model.total)
-        if len(missed):
-            start, freq, total = now[missed].astype(np.uint64), np.ones(len(missed), np.uint64), np.full(len(missed), 1 << 16, np.uint64)
-            if model.known:
-                k = np.flatnonzero(there)
-                a, b = model.left.take(at[k]), model.right.take(at[k])
-                start[k], freq[k], total[k] = a, b - a, model.known
-            code(missed, start, freq, total)
-        model.update(m, t, now, decision)
-    for _ in range(3):
-        out[np.arange(lanes), used] = (low >> np.uint64(32)).astype(np.uint16)
-        low = (low << _W16) & _M48
-        used += 1
-    return [(block if i < lanes - 1 else last, out[i, : used[i]].astype("<u2").tobytes()) for i in range(lanes)]
-
-
-def decode(blocks: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        decision = np.where(right2, 0, 2 - right1)
+        start, freq, shift = model.span(decision)
+        r = span[:m] // model.total
+        lo, sp = low[:m] + start * r, freq * r
+        if table.bits > 16:
+            lo, sp = moved(lo, sp, m)
+        r = sp >> bits
+        missed = decision == 2
+        lo = lo + np.where(missed, r * table.before.take(now), 0)
+        sp = np.where(missed, r * table.freq.take(now), sp)
+        low[:m], span[:m] = moved(lo, sp, m)
+        model.update(m, t, now, decision, shift)
+    # one more word names a number within the span
+    end = (low + (_TOP - U(1))) >> _W32
+    over = np.flatnonzero(end >> _W16)
+    out[to[over] - 1] += 1
+    out[to] = end & _FIELD
+    to += 1
+    words = out.reshape(lanes, width)
+    used = to - np.arange(lanes) * width
+    for j in range(int(used.max()) - 1, 0, -1):  # carries run on
+        words[:, j - 1] += words[:, j] >> 16
+    words = (words & 0xFFFF).astype("<u2")
+    return [(block if i < lanes - 1 else last, words[i, :k].tobytes()) for i, k in enumerate(used.tolist())]
+
+
+def decode(blocks: list[tuple[int, bytes]], table: Table) -> list[np.ndarray]:
     """The ids of each block, in the order given."""
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     sizes = np.asarray([blocks[i][0] for i in order])
     lanes, steps = len(order), int(sizes[0]) if len(order) else 0
-    words = np.zeros((lanes, max((len(b) // 2 for _, b in blocks), default=0) + 4), np.uint64)
+    if not steps:
+        return [np.empty(0, np.int64) for _ in blocks]
+    width = max(len(b) // 2 for _, b in blocks) + 8  # beyond the last word there are zeros
+    words = np.zeros((lanes, width), np.uint16)
     for k, i in enumerate(order):
         w = np.frombuffer(blocks[i][1], "<u2")
         words[k, : len(w)] = w
-    x = np.zeros((lanes, steps), np.int32)
-    model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _M48, np.uint64)
-    held = (words[:, 0] << np.uint64(32)) | (words[:, 1] << _W16) | words[:, 2]
-    used = np.full(lanes, 3)
-
-    def value(which, total):
-        r = span[which] // total
-        return r, np.minimum((held[which] - low[which]) // r, total - np.uint64(1)).astype(np.int64)
-
-    def take(which, r, start, freq):
-        lo, sp, code = low[which] + start * r, freq * r, held[which]
-        move = _settled(lo, sp)
-        while len(move):
-            w, a, b = which[move], lo[move], sp[move]
-            code[move] = ((code[move] << _W16) & _M48) | words.take(w * words.shape[1] + used[w])
-            used[w] += 1
-            a, b = (a << _W16) & _M48, b << _W16
-            again = _settled(a, b)
-            lo[move], sp[move] = a, b
-            move = move[again]
-        low[which], span[which], held[which] = lo, sp, code
+    flat, at, end = words.ravel(), np.arange(lanes) * width + 3, (np.arange(lanes) + 1) * width - 1
+    x = np.zeros((steps, lanes), np.int32)
+    model, bits, whole = Model(lanes), U(table.bits), U((1 << table.bits) - 1)
+    span = np.full(lanes, _STATE)
+    held = words[:, 0].astype(U) << _W32 | words[:, 1].astype(U) << _W16 | words[:, 2]  # less the lower end
+
+    def moved(he, sp, m):
+        small = sp < _TOP
+        while small.any():
+            shift = small.astype(U) << U(4)
+            he = (he << shift) | (flat.take(at[:m]) * small)
+            sp = sp << shift
+            at[:m] = np.minimum(at[:m] + small, end[:m])
+            small = sp < _TOP
+        return he, sp
 
     for t in range(steps):
         m = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t ids
-        model.step(t, x)
         model.predict(m)
-        lane = model.lane[:m]
-        r, v = value(lane, model.total)
-        u = v.astype(np.uint64)
-        decision = (u >= model.sums & np.uint64(0xFFFF)).astype(np.int64) + (u >= model.sums >> _W16 & np.uint64(0xFFFF)) + (u >= model.sums >> np.uint64(32) & np.uint64(0xFFFF))
-        take(lane, r, *model.span(decision))
+        r = span[:m] // model.total
+        v = held[:m] // r
+        decision = (v >= model.sums & _FIELD).astype(np.int64) + (v >= model.sums >> _W16 & _FIELD)
+        start, freq, shift = model.span(decision)
+        he, sp = held[:m] - start * r, freq * r
+        if table.bits > 16:
+            he, sp = moved(he, sp, m)
         now = np.where(decision == 0, model.p2, model.p1)
-        missed = np.flatnonzero(decision >= 2)
-        if len(missed):
-            old = decision[missed] == 2
-            r, v = value(missed, np.where(old, model.known, 1 << 16).astype(np.uint64))
-            start, freq, got = v.astype(np.uint64), np.ones(len(v), np.uint64), v.copy()
-            k = np.flatnonzero(old)
-            if len(k):
-                at = missed[k] * model.known + v[k]
-                a = model.left.take(at)
-                got[k], start[k], freq[k] = model.sorted.take(at), a, model.right.take(at) - a
-            take(missed, r, start, freq)
-            now[missed] = got
-        x[:m, t] = now
-        model.update(m, t, now, decision)
+        k = np.flatnonzero(decision == 2)
+        if len(k):
+            r, rest = sp[k] >> bits, he[k]
+            found = table.at.take(np.minimum(rest // r, whole).astype(np.int64))
+            now[k] = found
+            he[k], sp[k] = rest - r * table.before.take(found), r * table.freq.take(found)
+        held[:m], span[:m] = moved(he, sp, m)
+        x[t, :m] = now
+        model.update(m, t, now, decision, shift)
+    ids = table.ids.astype(np.int64)
     out: list = [None] * lanes
+    rows = np.ascontiguousarray(x.T)
     for k, i in enumerate(order):
-        out[i] = x[k, : sizes[k]]
+        out[i] = ids[rows[k, : sizes[k]]]
     return out
 
 

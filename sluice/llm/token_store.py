@@ -3,13 +3,14 @@
 Documents in ascending doc_id order become ids with an end id, and whole documents are gathered into
 frames of about FRAME ids. A frame is self-contained bytes (layout below); its blocks of range_coder.BLOCK
 ids are coded independently, each with checksums of its words and of its ids, so any block can be read
-alone. Frames are rows of a Parquet table (part, seq, first, n_tokens, frame): the container that Spark can
+with the frame's head alone. The head holds the frame's order-0 table. Frames are rows of a Parquet table (part, seq, first, n_tokens, frame): the container that Spark can
 write to and read from any store, with its commit protocol for lost executors. Order is (part, seq); what
 lies before a part is a sum over parts, one number for each.
 
-Frame, little-endian: b"SLF1", u32 documents, u32 blocks, u32 crc of the rest of the head; for each document
-i64 doc_id, u8 known, u32 ids; for each block u32 ids, u32 words' bytes, u32 crc of the words, u32 crc of
-the ids; then the words.
+Frame, little-endian: b"SLF2", u32 documents, u32 blocks, u32 bytes of the table, u32 crc of the rest of the
+head; for each document i64 doc_id, u8 known, u32 ids; for each block u32 ids, u32 words' bytes, u32 crc of the
+words, u32 crc of the ids; the table (u8 bits; zlib: steps between the distinct ids, their frequencies, u32
+each); then the words. A very long document is a frame of its own.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id comes first (flag 0); rows of one
 doc_id stand in the order of their text's hash; an empty table makes no frame; extra columns are not read.
@@ -26,7 +27,7 @@ from sluice.llm import textcore as tc
 from sluice.llm.common import keyed, load, shared_folder
 
 END, FRAME = 1, 1 << 22
-MAGIC = b"SLF1"
+MAGIC = b"SLF2"
 _DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 _BLOCK = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 
@@ -36,13 +37,14 @@ def pack_frame(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
 
     docs = np.zeros(len(counts), _DOC)
     docs["id"], docs["known"], docs["n"] = [d or 0 for d in doc_ids], [d is not None for d in doc_ids], counts
-    coded = range_coder.encode(ids)
+    table, numbers = range_coder.Table.of(ids)
+    coded, order0 = range_coder.encode(numbers, table), table.dump()
     blocks, at = np.zeros(len(coded), _BLOCK), 0
     for i, (n, words) in enumerate(coded):
         blocks[i] = (n, len(words), zlib.crc32(words), range_coder.checksum(ids[at : at + n]))
         at += n
-    head = docs.tobytes() + blocks.tobytes()
-    sizes = np.array([len(docs), len(blocks), zlib.crc32(head)], "<u4").tobytes()
+    head = docs.tobytes() + blocks.tobytes() + order0
+    sizes = np.array([len(docs), len(blocks), len(order0), zlib.crc32(head)], "<u4").tobytes()
     return b"".join([MAGIC, sizes, head, *(w for _, w in coded)])
 
 
@@ -52,12 +54,13 @@ def unpack_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
     if data[:4] != MAGIC:
         raise ValueError("not a frame")
-    n_docs, n_blocks, crc = (int(x) for x in np.frombuffer(data, "<u4", 3, 4))
-    body = 16 + n_docs * _DOC.itemsize + n_blocks * _BLOCK.itemsize
-    if zlib.crc32(data[16:body]) != crc:
+    n_docs, n_blocks, n_table, crc = (int(x) for x in np.frombuffer(data, "<u4", 4, 4))
+    first = 20 + n_docs * _DOC.itemsize
+    body = first + n_blocks * _BLOCK.itemsize + n_table
+    if zlib.crc32(data[20:body]) != crc:
         raise ValueError("the frame's head is damaged")
-    docs = np.frombuffer(data, _DOC, n_docs, 16)
-    blocks = np.frombuffer(data, _BLOCK, n_blocks, 16 + n_docs * _DOC.itemsize)
+    docs = np.frombuffer(data, _DOC, n_docs, 20)
+    blocks = np.frombuffer(data, _BLOCK, n_blocks, first)
     words, at = [], body
     for n, size, crc, _ in blocks.tolist():
         w = data[at : at + size]
@@ -65,7 +68,7 @@ def unpack_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
             raise ValueError(f"block {len(words)}'s words are damaged")
         words.append((n, w))
         at += size
-    found = range_coder.decode(words)
+    found = range_coder.decode(words, range_coder.Table.load(data[body - n_table : body]))
     for i, (ids, crc) in enumerate(zip(found, blocks["ids_crc"].tolist())):
         if range_coder.checksum(ids) != crc:
             raise ValueError(f"block {i}'s ids are damaged")

@@ -1,8 +1,9 @@
-"""Whole-text tokenization on the executors, through a cache of pieces.
+"""Whole-text tokenization on the executors, piece by piece.
 
 The word tokenizer splits at white space before anything else looks at its neighbours, so a text's ids are
-those of its white-space separated pieces in order (the tests compare whole texts). Each worker remembers
-the pieces it has met; a repeated piece costs one dictionary look-up, and ids are gathered by numpy.
+those of its white-space separated pieces in order (the tests compare whole texts). Of the distinct pieces of
+a batch those of lower-case letters, with or without a stop behind them, are merged all at once by the
+tokenizer's own merge list (`Merges`); the tokenizer itself takes the others, and a worker remembers them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,103 @@ from sluice.llm import textcore as tc
 #: The tokenizer's name among the public files, the parameter of every operator that tokenizes.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBER = 500_000
+REMEMBER = 200_000
+#: Bytes of a piece that is merged with others at once; longer ones go to the tokenizer.
+LONGEST = 64
+
+
+class Merges:
+    """Byte-pair merges of many words at once; a word's last byte is that of a word's end."""
+
+    def __init__(self, tokenizer):
+        import json
+
+        model = json.loads(tokenizer.to_str())["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        by_byte = _byte_characters()
+        self.inner, self.last = (np.asarray([vocab[chr(by_byte[b]) + end] for b in range(256)], np.int32) for end in ("", suffix))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.rank_to_id = np.asarray([vocab[a + b] for a, b in pairs], np.int32)
+        self.none = len(pairs)
+        # pair -> rank in a table of slots; the few pairs whose slot is taken are in a sorted list
+        self.keys = np.append(np.asarray([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64), -1)
+        self.table = np.full(1 << 19, self.none, np.int32)
+        self.table[self._slot(self.keys[:-1])[::-1]] = np.arange(self.none)[::-1]
+        over = np.flatnonzero(self.table[self._slot(self.keys[:-1])] != np.arange(self.none))
+        over = over[np.argsort(self.keys[over])]
+        self.over_keys, self.over_ranks = np.append(self.keys[over], 2**63 - 1), np.append(over, self.none).astype(np.int32)
+        self.crowded = np.zeros(1 << 19, bool)
+        self.crowded[self._slot(self.keys[over])] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(tc.MULTIPLIERS[0])) >> np.uint64(45)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; `none` for those that do not merge."""
+        keys = a.astype(np.int64) << 32 | b
+        slot = self._slot(keys)
+        rank = self.table.take(slot)
+        wrong = self.keys.take(rank) != keys
+        if wrong.any():
+            rank[wrong] = self.none
+            k = np.flatnonzero(wrong & self.crowded.take(slot))
+            if len(k):
+                at = np.searchsorted(self.over_keys, keys[k])
+                rank[k] = np.where(self.over_keys[at] == keys[k], self.over_ranks[at], self.none)
+        return rank
+
+    def __call__(self, data: np.ndarray, lengths: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as bytes one after the other with their lengths, and the ids of each. Where stop is set, a word's last byte is a word of its own."""
+        ends = np.cumsum(lengths)
+        symbol = self.inner.take(data)
+        for end in (ends - 1, ends[stop] - 2):
+            symbol[end] = self.last.take(data[end])
+        word, n = np.arange(len(lengths)), lengths.copy()
+        rank = np.full(len(symbol), self.none, np.int32)
+        inside = np.ones(len(symbol), bool)
+        inside[ends - 1] = False
+        k = np.flatnonzero(inside)
+        rank[k] = self.ranks(symbol[k], symbol[k + 1])
+        found, of, sizes = [], [], []
+        while len(word):
+            starts = np.cumsum(n) - n
+            best = np.minimum.reduceat(rank, starts)
+            going = best < self.none
+            if not going.all():
+                each = np.repeat(going, n)
+                found.append(symbol[~each])
+                of.append(word[~going])
+                sizes.append(n[~going])
+                symbol, rank, word, n, best = symbol[each], rank[each], word[going], n[going], best[going]
+                if not len(word):
+                    break
+                starts = np.cumsum(n) - n
+            at = np.flatnonzero(rank == np.repeat(best, n))
+            # the first of equals in each word
+            owner = np.searchsorted(starts, at, "right") - 1
+            first = np.ones(len(at), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            at = at[first]
+            symbol[at] = self.rank_to_id.take(best)
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            symbol, rank = symbol[stay], rank[stay]
+            at, n = at - np.arange(len(at)), n - 1
+            starts = np.cumsum(n) - n
+            rank[at] = self.none
+            k = at[at < starts + n - 1]
+            rank[k] = self.ranks(symbol[k], symbol[k + 1])
+            k = at[at > starts] - 1
+            rank[k] = self.ranks(symbol[k], symbol[k + 1])
+        if not found:
+            return np.empty(0, np.int32), np.zeros(0, np.int64)
+        # back into the words' order
+        of, sizes, flat = np.concatenate(of), np.concatenate(sizes), np.concatenate(found)
+        start = np.cumsum(sizes) - sizes
+        order = np.argsort(of, kind="stable")
+        n = sizes[order]
+        out = np.cumsum(n)
+        return flat[np.repeat(start[order] - (out - n), n) + np.arange(out[-1])], n
 
 
 class Pieces(dict):
@@ -36,10 +133,62 @@ class Pieces(dict):
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         # what is taken for granted below is tried out: other tokenizers encode whole texts, or whole pieces
         self.splits = all(ids(a + " " + b) == ids(a) + ids(b) == ids(f"\n{a.upper()}\t{b} ") for a, b in (("the", "cats"), ("eine", "straße.")))
-        self.letters = self.splits and all(ids(x) == self.word(x) for x in ("unbelievable", "straße", "élève", "привет", "ab"))
+        self.letters = self.splits and all(ids(x) == self.word(x) for x in _TRIED)
+        try:
+            self.merges = Merges(self.tokenizer) if self.letters else None
+            if self.letters and any(ids(x) != self._merged([x])[0].tolist() for x in (*_TRIED, *(x + end for x in _TRIED for end in ".,"))):
+                self.merges = None
+        except (KeyError, TypeError):  # not a model of byte pairs with word ends
+            self.merges = None
         self.ends: dict[str, bool] = {}
         self.forget()
 
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [p.encode() for p in pieces]
+        return self.merges(np.frombuffer(b"".join(data), np.uint8), np.asarray([len(d) for d in data]), np.asarray([p[-1] in ".," for p in pieces]))
+
+    def _simple(self, column, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces are lower-case letters with or without a stop, and which have the stop."""
+        n = np.diff(edges)
+        stop = _STOP[data[edges[1:] - 1]] & (n > 1)
+        plain = np.concatenate([[0], np.cumsum(_LOWER[data])])
+        simple = (plain[edges[1:]] - plain[edges[:-1]] == n - stop) & (n > 0) & (n <= LONGEST)
+        other = np.concatenate([[0], np.cumsum(data >= 128)])
+        maybe = np.flatnonzero((other[edges[1:]] > other[edges[:-1]]) & (n <= LONGEST))
+        for i, piece, end in zip(maybe.tolist(), column.take(maybe).to_pylist(), stop[maybe].tolist()):
+            word = piece[:-1] if end else piece
+            simple[i] = word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word)
+        return simple, stop
+
+    def look(self, distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of the distinct pieces (an Arrow array) where its ids start and how many they are."""
+        import pyarrow as pa
+
+        if not self.merges or not len(distinct):
+            number = np.fromiter(map(self.__getitem__, distinct.to_pylist()), np.int64, len(distinct))
+            self.settle()
+            return self.ids, self.start[number], self.length[number]
+        column = distinct.cast(pa.large_string())
+        _, offsets, held = column.buffers()
+        edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        simple, stop = self._simple(pa.array(column), data, edges)
+        each = np.repeat(simple, np.diff(edges))
+        ids, n = self.merges(data[each], np.diff(edges)[simple], stop[simple])
+        start, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        start[simple], length[simple] = np.cumsum(n) - n, n
+        rest = np.flatnonzero(~simple)
+        if len(rest):
+            number = np.fromiter(map(self.__getitem__, column.take(pa.array(rest)).to_pylist()), np.int64, len(rest))
+            self.settle()
+            # only what this batch needs, so that no batch copies all that is remembered
+            n = self.length[number]
+            before = np.cumsum(n) - n
+            start[rest], length[rest] = before + len(ids), n
+            ids = np.concatenate([ids, self.ids[np.repeat(self.start[number] - before, n) + np.arange(n.sum())]])
+        return ids, start, length
+
     def word(self, piece: str) -> list[int]:
         """Ids of lower-case letters: one word to the tokenizer, so its model is asked directly."""
         return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))]
@@ -99,12 +248,10 @@ class Pieces(dict):
         if self.n > REMEMBER:
             self.forget()
         distinct, number, counts = tc.split(_lowered(tc.strings(column)))
-        look = np.fromiter(map(self.__getitem__, distinct.to_pylist()), np.int64, len(distinct))
-        self.settle()
-        pieces = look[number]
-        length = self.length[pieces]
+        flat, start, length = self.look(distinct)
+        length = length[number]
         before = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(self.start[pieces] - before[:-1], length) + np.arange(before[-1])]
+        ids = flat[np.repeat(start[number] - before[:-1], length) + np.arange(before[-1])]
         edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         n = before[edges[1:]] - before[edges[:-1]]
         if end is not None:
@@ -112,7 +259,6 @@ class Pieces(dict):
             n = n + 1
         return ids, n
 
-
     def _whole(self, column, end):
         found = self.tokenizer.encode_batch_fast(tc.strings(column).to_pylist(), add_special_tokens=False)
         lists = [e.ids + ([] if end is None else [end]) for e in found]
@@ -120,6 +266,12 @@ class Pieces(dict):
         return np.fromiter((x for ids in lists for x in ids), np.int32, int(n.sum())), n
 
 
+_TRIED = ("unbelievable", "straße", "élève", "привет", "ab", "a", "zzxq", "banana", "日本語", "internationalization", "aaaaaaa")
+_LOWER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LOWER[97:123] = True
+_STOP[[44, 46]] = True
+
+
 def _byte_characters() -> dict[int, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}

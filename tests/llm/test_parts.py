@@ -7,13 +7,48 @@ from sluice.llm import packing, range_coder, token_store, tokens
 
 
 @pytest.mark.parametrize("n", [1, 2, 33, 2048, 2049, 7000])
-@pytest.mark.parametrize("kind", ["any", "skewed", "same"])
+@pytest.mark.parametrize("kind", ["any", "wide", "skewed", "same", "again"])
 def test_coder_round_trip(n, kind):
     r = np.random.default_rng(n)
-    ids = {"any": r.integers(0, 65536, n), "skewed": r.zipf(1.3, n) % 49408, "same": np.full(n, 7)}[kind]
-    blocks = range_coder.encode(ids)
-    assert np.array_equal(np.concatenate(range_coder.decode(blocks)), ids)
-    assert np.array_equal(range_coder.decode(blocks[-1:])[0], ids[-blocks[-1][0] :])  # a block alone
+    ids = {"any": r.integers(0, 65536, n), "wide": r.integers(0, 2**32, n), "skewed": r.zipf(1.3, n) % 49408, "same": np.full(n, 7), "again": np.resize(r.integers(65000, 2**31, 300), n)}[kind]
+    table, numbers = range_coder.Table.of(ids)
+    blocks, held = range_coder.encode(numbers, table), range_coder.Table.load(table.dump())
+    assert np.array_equal(np.concatenate(range_coder.decode(blocks, held)), ids)
+    assert np.array_equal(range_coder.decode(blocks[-1:], held)[0], ids[-blocks[-1][0] :])  # a block alone
+
+
+def test_a_table_of_many_ids_round_trips():
+    ids = np.random.default_rng(2).permutation(np.repeat(np.arange(90_000), 2))
+    table, numbers = range_coder.Table.of(ids)
+    assert table.bits == 18
+    assert np.array_equal(np.concatenate(range_coder.decode(range_coder.encode(numbers, table, 9000), table)), ids)
+
+
+def test_the_coder_beats_order_0():
+    r, chain = np.random.default_rng(3), [0]
+    follows = r.integers(0, 500, (500, 3))
+    for pick in r.integers(0, 3, 60_000).tolist():
+        chain.append(int(follows[chain[-1], pick]))
+    ids = np.asarray(chain)
+    p = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * len(token_store.pack_frame([1], np.asarray([len(ids)]), ids)) / len(ids) < -(p * np.log2(p)).sum()
+
+
+def test_several_frames_in_several_parts(spark, tmp_path):
+    from test_operators import crc, ids_of
+
+    texts = [(i, f"w{i} alpha beta, gamma. " * (i % 37) + ("delta " * 3000 if i == 41 else "")) for i in range(120)]
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_store.write(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), path, frame=500)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = spark.read.parquet(path)
+    assert table.select("part").distinct().count() > 1 and table.agg({"seq": "max"}).first()[0] > 1
+    at = 0
+    for r, (i, x) in zip(sorted(token_store.read(spark, path).collect(), key=lambda r: r.doc_id), texts):
+        want = ids_of(x, 1)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (i, at, len(want), crc(want), want)
+        at += len(want)
 
 
 def test_frames_detect_damage():
@@ -21,7 +56,7 @@ def test_frames_detect_damage():
     data = token_store.pack_frame([5, None], np.array([2000, 3000]), ids)
     names, n, found = token_store.unpack_frame(data)
     assert names == [5, None] and n.tolist() == [2000, 3000] and np.array_equal(found, ids)
-    for at in (20, len(data) - 3):
+    for at in (24, 20 + 2 * 13 + 3 * 16 + 5, len(data) - 3):
         bad = bytearray(data)
         bad[at] ^= 4
         with pytest.raises(ValueError):
@@ -41,6 +76,21 @@ def test_cached_pieces_equal_whole_texts():
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_merged_words_equal_the_tokenizers():
+    import random
+
+    import pyarrow as pa
+
+    r, p = random.Random(3), tokens.pieces()
+    assert p.merges is not None
+    vocabulary = [w.replace("</w>", "") for w in p.tokenizer.get_vocab()]
+    letters = "abcdefghijklmnopqrstuvwxyzéèüßñóàçабвгдежз日本語한글İʼﬁǅ.,'-!0159<|> \n\tA\u0301"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 60))) for _ in range(3000)] + [" ".join(r.choices(vocabulary, k=12)) + r.choice(".,;") for _ in range(1500)] + ["ab" * 200, "é" * 90 + ".", "a" * 64 + ",", "a" * 63 + ","]
+    ids, n = p.encode(pa.array(texts), 5)
+    whole, want = p._whole(pa.array(texts), 5)
+    assert n.tolist() == want.tolist() and np.array_equal(ids, whole)
+
+
 def test_children_hold_every_piece():
     r = np.random.default_rng(1)
     lengths = r.integers(1, 2048, 500)

@@ -6,7 +6,7 @@ import random
 def test_small_sets_in_larger_ones_are_linked(spark):
     from sluice.llm import near_dups
 
-    r, rows, sizes = random.Random(4), [], [(62, 82), (63, 83), (63, 84), (64, 83), (64, 84), (64, 85)]
+    r, rows, sizes = random.Random(4), [], [(48, 64), (60, 80), (62, 82), (63, 83), (63, 84), (64, 83), (64, 84), (64, 85), (66, 88), (100, 133)]
     for n, m in sizes * 60:
         w = [f"{len(rows)}x{r.getrandbits(40)}" for _ in range(m + 4)]
         rows += [(len(rows), " ".join(w[: n + 4])), (len(rows) + 1, " ".join(w))]
