@@ -22,10 +22,11 @@ from sluice.llm import textcore as tc
 
 BLOCK = 2048
 _BITS = 11  # of a context table
-_STEP, _LIMIT = 24, 1 << 12
+#: What a decision adds to its counts, and the most that a row may come to in a block: two rows together stay within 16 bits.
+_STEP, _ROOM = 24, 32_000
 U = np.uint64
 _STATE, _TOP, _MASK, _W16, _W32, _W48 = U(1 << 48), U(1 << 32), U((1 << 48) - 1), U(16), U(32), U(48)
-_ONES, _HALF, _FIELD = U(0x0001000100010001), U(0x7FFF7FFF7FFF7FFF), U(0xFFFF)
+_ONES, _FIELD = U(0x0001000100010001), U(0xFFFF)
 
 
 class Table:
@@ -68,8 +69,11 @@ class Table:
 class Model:
     """A row of counts is one 64-bit number of 16-bit fields, one for each decision; a context's id and confidence are one number, too."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, steps: int):
+        if steps > _ROOM:
+            raise ValueError(f"a block holds {_ROOM} ids at most")
         lane = np.arange(lanes)
+        self.add = U(max(1, min(_STEP, _ROOM // max(1, steps))))
         self.high, self.row_a0, self.row_b0 = lane << _BITS, lane << 5, lane << 6
         self.seen1, self.seen2 = np.zeros(lanes << _BITS, np.int32), np.zeros(lanes << _BITS, np.int32)
         self.by_state, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 64, 2 * _ONES)
@@ -98,17 +102,14 @@ class Model:
         freq = self.freq >> shift & _FIELD
         return (self.sums >> shift & _FIELD) - freq, freq, shift
 
-    def update(self, m: int, t: int, x: np.ndarray, decision: np.ndarray, shift: np.ndarray):
-        step = U(_STEP) << shift
-        for table, row, now in ((self.by_state, self.row_a, self.of_a), (self.by_past, self.row_b, self.of_b)):
-            now = now + step
-            if t % 64 == 0:
-                full = now * _ONES >> _W48 > _LIMIT
-                now[full] = (now[full] >> U(1) & _HALF) + (_ONES & _MASK)
-            table[row] = now
-        x4 = x << 2
-        self.seen1[self.at1] = x4 | np.where(self.p1 == x, np.minimum(self.c1 + 1, 3), 1)
-        self.seen2[self.at2] = x4 | np.where(self.p2 == x, np.minimum(self.c2 + 1, 3), 1)
+    def update(self, m: int, x: np.ndarray, decision: np.ndarray, shift: np.ndarray):
+        step = self.add << shift
+        self.by_state[self.row_a] = self.of_a + step
+        self.by_past[self.row_b] = self.of_b + step
+        x4 = (x << 2) + 1
+        # a hit adds one to the confidence, up to 3; else it is 1 again
+        self.seen1[self.at1] = x4 + (self.p1 == x) * np.minimum(self.c1, 2)
+        self.seen2[self.at2] = x4 + (self.p2 == x) * np.minimum(self.c2, 2)
         self.past[:m] = (self.past[:m] << 2 | decision) & 63
         self.x2[:m], self.x1[:m] = self.x1[:m], x
 
@@ -123,16 +124,16 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
     x = np.zeros(lanes * block, np.int32)
     x[:n] = numbers
     x = np.ascontiguousarray(x.reshape(lanes, block).T)  # a step's ids lie together
-    model, bits = Model(lanes), U(table.bits)
+    model, bits = Model(lanes, block), U(table.bits)
     low, span = np.zeros(lanes, U), np.full(lanes, _STATE)
     width = 2 * block + 8
     out, to = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
 
     def moved(lo, sp, m):
         """Takes carries over and moves words out until every span is large enough."""
-        over = np.flatnonzero(lo >> _W48)
-        if len(over):
-            out[to[over] - 1] += 1
+        over = lo >= _STATE
+        if over.any():
+            out[to[:m][over] - 1] += 1
             lo &= _MASK
         small = sp < _TOP
         while small.any():
@@ -160,7 +161,7 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
         lo = lo + np.where(missed, r * table.before.take(now), 0)
         sp = np.where(missed, r * table.freq.take(now), sp)
         low[:m], span[:m] = moved(lo, sp, m)
-        model.update(m, t, now, decision, shift)
+        model.update(m, now, decision, shift)
     # one more word names a number within the span
     end = (low + (_TOP - U(1))) >> _W32
     over = np.flatnonzero(end >> _W16)
@@ -175,8 +176,8 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
     return [(block if i < lanes - 1 else last, words[i, :k].tobytes()) for i, k in enumerate(used.tolist())]
 
 
-def decode(blocks: list[tuple[int, bytes]], table: Table) -> list[np.ndarray]:
-    """The ids of each block, in the order given."""
+def decode(blocks: list[tuple[int, bytes]], table: Table, block: int = BLOCK) -> list[np.ndarray]:
+    """The ids of each block, in the order given; block is that of encode."""
     order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
     sizes = np.asarray([blocks[i][0] for i in order])
     lanes, steps = len(order), int(sizes[0]) if len(order) else 0
@@ -189,7 +190,7 @@ def decode(blocks: list[tuple[int, bytes]], table: Table) -> list[np.ndarray]:
         words[k, : len(w)] = w
     flat, at, end = words.ravel(), np.arange(lanes) * width + 3, (np.arange(lanes) + 1) * width - 1
     x = np.zeros((steps, lanes), np.int32)
-    model, bits, whole = Model(lanes), U(table.bits), U((1 << table.bits) - 1)
+    model, bits, whole = Model(lanes, block), U(table.bits), U((1 << table.bits) - 1)
     span = np.full(lanes, _STATE)
     held = words[:, 0].astype(U) << _W32 | words[:, 1].astype(U) << _W16 | words[:, 2]  # less the lower end
 
@@ -222,7 +223,7 @@ def decode(blocks: list[tuple[int, bytes]], table: Table) -> list[np.ndarray]:
             he[k], sp[k] = rest - r * table.before.take(found), r * table.freq.take(found)
         held[:m], span[:m] = moved(he, sp, m)
         x[t, :m] = now
-        model.update(m, t, now, decision, shift)
+        model.update(m, now, decision, shift)
     ids = table.ids.astype(np.int64)
     out: list = [None] * lanes
     rows = np.ascontiguousarray(x.T)

@@ -2,8 +2,9 @@
 
 The word tokenizer splits at white space before anything else looks at its neighbours, so a text's ids are
 those of its white-space separated pieces in order (the tests compare whole texts). Of the distinct pieces of
-a batch those of lower-case letters, with or without a stop behind them, are merged all at once by the
-tokenizer's own merge list (`Merges`); the tokenizer itself takes the others, and a worker remembers them.
+a batch a worker first looks up those it has met. Of the others those of lower-case letters, digits and plain
+punctuation are cut into words and merged all at once by the tokenizer's own merge list (`Merges`); the
+tokenizer itself takes the rest.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from sluice.llm import textcore as tc
 #: The tokenizer's name among the public files, the parameter of every operator that tokenizes.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBER = 200_000
+REMEMBER = 500_000
 #: Bytes of a piece that is merged with others at once; longer ones go to the tokenizer.
 LONGEST = 64
 
@@ -63,12 +64,11 @@ class Merges:
                 rank[k] = np.where(self.over_keys[at] == keys[k], self.over_ranks[at], self.none)
         return rank
 
-    def __call__(self, data: np.ndarray, lengths: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, given as bytes one after the other with their lengths, and the ids of each. Where stop is set, a word's last byte is a word of its own."""
+    def __call__(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, given as bytes one after the other with their lengths, and the ids of each."""
         ends = np.cumsum(lengths)
         symbol = self.inner.take(data)
-        for end in (ends - 1, ends[stop] - 2):
-            symbol[end] = self.last.take(data[end])
+        symbol[ends - 1] = self.last.take(data[ends - 1])
         word, n = np.arange(len(lengths)), lengths.copy()
         rank = np.full(len(symbol), self.none, np.int32)
         inside = np.ones(len(symbol), bool)
@@ -117,8 +117,8 @@ class Merges:
         return flat[np.repeat(start[order] - (out - n), n) + np.arange(out[-1])], n
 
 
-class Pieces(dict):
-    """piece -> number; ids of piece i are ids[start[i]:start[i] + length[i]]."""
+class Pieces:
+    """The pieces met so far: `known`, and their ids, with where each one's start and how many they are."""
 
     def __init__(self, path: str):
         import os
@@ -126,127 +126,90 @@ class Pieces(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.new, self.ready, self.joined = Tokenizer.from_file(path), [], [], []
-        self.model = self.tokenizer.model
-        self.bytes = _byte_characters()
+        self.tokenizer, self.merges = Tokenizer.from_file(path), None
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         # what is taken for granted below is tried out: other tokenizers encode whole texts, or whole pieces
         self.splits = all(ids(a + " " + b) == ids(a) + ids(b) == ids(f"\n{a.upper()}\t{b} ") for a, b in (("the", "cats"), ("eine", "straße.")))
-        self.letters = self.splits and all(ids(x) == self.word(x) for x in _TRIED)
         try:
-            self.merges = Merges(self.tokenizer) if self.letters else None
-            if self.letters and any(ids(x) != self._merged([x])[0].tolist() for x in (*_TRIED, *(x + end for x in _TRIED for end in ".,"))):
-                self.merges = None
+            self.merges = Merges(self.tokenizer)
         except (KeyError, TypeError):  # not a model of byte pairs with word ends
-            self.merges = None
-        self.ends: dict[str, bool] = {}
+            pass
         self.forget()
+        if self.merges:
+            import pyarrow as pa
+
+            found, n = self._new(pa.array(_TRIED, pa.large_string()))
+            if found.tolist() != [i for x in _TRIED for i in ids(x)]:
+                self.merges = None
 
-    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data = [p.encode() for p in pieces]
-        return self.merges(np.frombuffer(b"".join(data), np.uint8), np.asarray([len(d) for d in data]), np.asarray([p[-1] in ".," for p in pieces]))
-
-    def _simple(self, column, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pieces are lower-case letters with or without a stop, and which have the stop."""
-        n = np.diff(edges)
-        stop = _STOP[data[edges[1:] - 1]] & (n > 1)
-        plain = np.concatenate([[0], np.cumsum(_LOWER[data])])
-        simple = (plain[edges[1:]] - plain[edges[:-1]] == n - stop) & (n > 0) & (n <= LONGEST)
-        other = np.concatenate([[0], np.cumsum(data >= 128)])
-        maybe = np.flatnonzero((other[edges[1:]] > other[edges[:-1]]) & (n <= LONGEST))
-        for i, piece, end in zip(maybe.tolist(), column.take(maybe).to_pylist(), stop[maybe].tolist()):
-            word = piece[:-1] if end else piece
-            simple[i] = word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word)
-        return simple, stop
+    def forget(self):
+        """Starts afresh."""
+        import pyarrow as pa
+
+        self.known, self.of = pa.array([], pa.large_string()), (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def look(self, distinct) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each of the distinct pieces (an Arrow array) where its ids start and how many they are."""
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > REMEMBER:
+            self.forget()
+        distinct = distinct.cast(pa.large_string())
+        number = pc.index_in(distinct, value_set=self.known)
+        fresh = np.flatnonzero(np.asarray(number.is_null()))
+        number = np.asarray(number.fill_null(0)).astype(np.int64)
+        if len(fresh):
+            number[fresh] = len(self.known) + np.arange(len(fresh))
+            column = distinct.take(pa.array(fresh))
+            ids, length = self._new(column)
+            self.of = (np.concatenate([self.of[0], ids]), np.concatenate([self.of[1], len(self.of[0]) + np.cumsum(length) - length]), np.concatenate([self.of[2], length]))
+            self.known = pa.concat_arrays([self.known, column])
+        return self.of[0], self.of[1][number], self.of[2][number]
+
+    def _new(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces (an Arrow array of large strings) one after the other, and how many each has."""
+        import pyarrow as pa
 
-        if not self.merges or not len(distinct):
-            number = np.fromiter(map(self.__getitem__, distinct.to_pylist()), np.int64, len(distinct))
-            self.settle()
-            return self.ids, self.start[number], self.length[number]
-        column = distinct.cast(pa.large_string())
+        if not self.merges:
+            return self._asked(column)
         _, offsets, held = column.buffers()
         edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]]
+        data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]] if held else np.empty(0, np.uint8)
+        size, kinds = np.diff(edges), _kinds(data)
+        odd = np.concatenate([[0], np.cumsum(kinds == 0)])
         edges = edges - edges[0]
-        simple, stop = self._simple(pa.array(column), data, edges)
-        each = np.repeat(simple, np.diff(edges))
-        ids, n = self.merges(data[each], np.diff(edges)[simple], stop[simple])
-        start, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        start[simple], length[simple] = np.cumsum(n) - n, n
+        simple = (odd[edges[1:]] == odd[edges[:-1]]) & (size > 0) & (size <= LONGEST)
+        each = np.repeat(simple, size)
+        data, kinds, size = data[each], kinds[each], size[simple]
+        # a word is a run of letters or of punctuation, or a digit
+        begins = (kinds == _DIGIT) | np.concatenate([[True], kinds[1:] != kinds[:-1]])[: len(kinds)]
+        begins[np.cumsum(size) - size] = True
+        first = np.flatnonzero(begins)
+        ids, n = self.merges(data, np.diff(np.append(first, len(data))))
+        words = np.concatenate([[0], np.cumsum(begins)])[np.cumsum(size)]  # up to each piece's end
+        so_far = np.concatenate([[0], np.cumsum(n)])[words]
+        length = np.zeros(len(column), np.int64)
+        length[simple] = np.diff(so_far, prepend=0)
         rest = np.flatnonzero(~simple)
-        if len(rest):
-            number = np.fromiter(map(self.__getitem__, column.take(pa.array(rest)).to_pylist()), np.int64, len(rest))
-            self.settle()
-            # only what this batch needs, so that no batch copies all that is remembered
-            n = self.length[number]
-            before = np.cumsum(n) - n
-            start[rest], length[rest] = before + len(ids), n
-            ids = np.concatenate([ids, self.ids[np.repeat(self.start[number] - before, n) + np.arange(n.sum())]])
-        return ids, start, length
-
-    def word(self, piece: str) -> list[int]:
-        """Ids of lower-case letters: one word to the tokenizer, so its model is asked directly."""
-        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes))]
-
-    def apart(self, end: str) -> bool:
-        """Whether the tokenizer parts a stop from the letter before it: some letters become letter and mark, and a mark joins the stop."""
-        if end not in self.ends:
-            normalizer, parted = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-            found = parted.pre_tokenize_str(normalizer.normalize_str(end) if normalizer else end) if parted else []
-            self.ends[end] = len(found) > 1 and found[-1][0] == end[-1]
-        return self.ends[end]
-
-    def forget(self):
-        self.clear()
-        self.n, self.ids, self.start, self.length = 0, np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def __missing__(self, piece: str) -> int:
-        # a full stop or comma after most letters is a token sequence of its own
-        if piece[-1:] in (".", ",") and self.splits and piece[-2:-1].isalpha() and self.apart(piece[-2:]):
-            parts = (self[piece[:-1]], self[piece[-1:]])
-            number = self.n
-            self.joined.append((number, *parts))
-        else:
-            number = self.n
-            if self.letters and piece.isalpha() and piece.lower() == piece and unicodedata.is_normalized("NFC", piece):
-                self.ready.append((number, self.word(piece)))
-            else:
-                self.new.append((number, piece))
-        self.n += 1
-        self[piece] = number
-        return number
-
-    def settle(self):
-        """Tokenizes the pieces met since the last call."""
-        if not self.new and not self.ready and not self.joined:
-            return
-        known = len(self.start)
-        lists: list = [None] * (self.n - known)
-        for (number, _), e in zip(self.new, self.tokenizer.encode_batch_fast([p for _, p in self.new], add_special_tokens=False)):
-            lists[number - known] = e.ids
-        for number, ids in self.ready:
-            lists[number - known] = ids
-        of = lambda i: lists[i - known] if i >= known else self.ids[self.start[i] : self.start[i] + self.length[i]].tolist()
-        for number, a, b in self.joined:
-            lists[number - known] = of(a) + of(b)
-        self.new, self.ready, self.joined = [], [], []
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(length.sum()))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, flat])
+        if not len(rest):
+            return ids, length
+        asked, length[rest] = self._asked(column.take(pa.array(rest)))
+        out = np.empty(length.sum(), np.int32)
+        mine = np.repeat(simple, length)
+        out[mine], out[~mine] = ids, asked
+        return out, length
+
+    def _asked(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by the tokenizer itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((x for ids in found for x in ids), np.int32, int(n.sum())), n
 
     def encode(self, column, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string column's texts, one after the other, and the ids in each; end is appended to each text."""
         if not self.splits:
             return self._whole(column, end)
-        if self.n > REMEMBER:
-            self.forget()
         distinct, number, counts = tc.split(_lowered(tc.strings(column)))
         flat, start, length = self.look(distinct)
         length = length[number]
@@ -260,16 +223,35 @@ class Pieces(dict):
         return ids, n
 
     def _whole(self, column, end):
-        found = self.tokenizer.encode_batch_fast(tc.strings(column).to_pylist(), add_special_tokens=False)
-        lists = [e.ids + ([] if end is None else [end]) for e in found]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((x for ids in lists for x in ids), np.int32, int(n.sum())), n
+        ids, n = self._asked(tc.strings(column))
+        return (ids, n) if end is None else (np.insert(ids, np.cumsum(n), end), n + 1)
+
 
+_TRIED = ("unbelievable", "straße", "élève,", "привет", "ab", "a", "zzxq.", "banana", "日本語", "internationalization", "aaaaaaa", "a12b,c%%%", "...!?", "2024-11-26", "(x)")
+_LETTER, _DIGIT, _STOP = 1, 2, 3
 
-_TRIED = ("unbelievable", "straße", "élève", "привет", "ab", "a", "zzxq", "banana", "日本語", "internationalization", "aaaaaaa")
-_LOWER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
-_LOWER[97:123] = True
-_STOP[[44, 46]] = True
+
+def _kind(c: int) -> int:
+    """A code point's kind; 0 if its neighbours or a normalization might matter."""
+    x = chr(c)
+    if c < 128:
+        return _LETTER if x.islower() else _DIGIT if x.isdigit() else _STOP if 33 <= c < 127 and not x.isalpha() and x not in "'<" else 0
+    jamo = 0x1100 <= c < 0x1200 or 0xA960 <= c < 0xA980 or 0xD7B0 <= c < 0xD800  # letters that join others
+    return _LETTER if x.isalpha() and x.lower() == x and unicodedata.is_normalized("NFC", x) and not jamo else 0
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character."""
+    held = getattr(sys, "_sluice_kinds", None)
+    if held is None:
+        held = sys._sluice_kinds = np.full(0x110000, -1, np.int8)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    found = held.take(points)
+    if (found < 0).any():
+        for c in np.unique(points[found < 0]).tolist():
+            held[c] = _kind(c)
+        found = held.take(points)
+    return found if len(points) == len(data) else np.repeat(found, 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
 
 
 def _byte_characters() -> dict[int, int]:

@@ -21,7 +21,15 @@ def test_a_table_of_many_ids_round_trips():
     ids = np.random.default_rng(2).permutation(np.repeat(np.arange(90_000), 2))
     table, numbers = range_coder.Table.of(ids)
     assert table.bits == 18
-    assert np.array_equal(np.concatenate(range_coder.decode(range_coder.encode(numbers, table, 9000), table)), ids)
+    assert np.array_equal(np.concatenate(range_coder.decode(range_coder.encode(numbers, table, 9000), table, 9000)), ids)
+
+
+@pytest.mark.parametrize("block", [2048, 32_000])
+def test_counts_stay_within_their_fields(block):
+    # the same row all along, however long the block is
+    ids = np.where(np.arange(40_000) % 64 == 0, np.random.default_rng(1).integers(0, 2000, 40_000), 5)
+    table, numbers = range_coder.Table.of(ids)
+    assert np.array_equal(np.concatenate(range_coder.decode(range_coder.encode(numbers, table, block), table, block)), ids)
 
 
 def test_the_coder_beats_order_0():
