@@ -5,7 +5,7 @@ context (two ids before) and the order-1 context each predict the id they last s
 their recent hits; order 0 is the distribution of the ids of the whole frame (`Table`, kept in its head). A
 decision is coded first: order 2 is right, order 1 is right, or neither, and the id then goes by order 0. The
 decision's probabilities mix two adaptive tables by adding their counts: one by the confidences and agreement
-of the predictions, one by the last three decisions. Ids are any unsigned 32-bit numbers.
+of the predictions, one by the last two decisions. Ids are any unsigned 32-bit numbers.
 
 Of the coder's state a block keeps 48 bits; words of 16 bits leave it from above, and a carry is added to
 the words that left before. All numpy arrays run over the blocks of a frame ("lanes"): step t codes the
@@ -21,7 +21,7 @@ import numpy as np
 from sluice.llm import textcore as tc
 
 BLOCK = 2048
-_BITS = 11  # of a context table
+_BITS = 10  # of a context table
 #: What a decision adds to its counts, and the most that a row may come to in a block: two rows together stay within 16 bits.
 _STEP, _ROOM = 24, 32_000
 U = np.uint64
@@ -74,9 +74,9 @@ class Model:
             raise ValueError(f"a block holds {_ROOM} ids at most")
         lane = np.arange(lanes)
         self.add = U(max(1, min(_STEP, _ROOM // max(1, steps))))
-        self.high, self.row_a0, self.row_b0 = lane << _BITS, lane << 5, lane << 6
+        self.high, self.row_a0, self.row_b0 = lane << _BITS, lane << 5, lane << 4
         self.seen1, self.seen2 = np.zeros(lanes << _BITS, np.int32), np.zeros(lanes << _BITS, np.int32)
-        self.by_state, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 64, 2 * _ONES)
+        self.by_state, self.by_past = np.full(lanes * 32, 2 * _ONES), np.full(lanes * 16, 2 * _ONES)
         for table in (self.by_state, self.by_past):
             table &= U((1 << 48) - 1)  # three decisions
         self.past = np.zeros(lanes, np.int64)
@@ -88,8 +88,8 @@ class Model:
         k = self.x1[:m] * 40503
         self.at1, self.at2 = high + (k >> 5 & mask), high + (k + self.x2[:m] * 30011 >> 4 & mask)
         s1, s2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
-        self.p1, self.p2, self.c1, self.c2 = s1 >> 2, s2 >> 2, s1 & 3, s2 & 3
-        self.row_a = self.row_a0[:m] + ((self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2))
+        self.p1, self.p2, self.c1, self.c2 = s1 >> 5, s2 >> 5, s1 & 6, s2 & 24
+        self.row_a = self.row_a0[:m] + ((self.c2 | self.c1) + (self.p1 == self.p2))
         self.row_b = self.row_b0[:m] + self.past[:m]
         self.of_a, self.of_b = self.by_state.take(self.row_a), self.by_past.take(self.row_b)
         self.freq = self.of_a + self.of_b
@@ -102,16 +102,16 @@ class Model:
         freq = self.freq >> shift & _FIELD
         return (self.sums >> shift & _FIELD) - freq, freq, shift
 
-    def update(self, m: int, x: np.ndarray, decision: np.ndarray, shift: np.ndarray):
+    def update(self, m: int, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, decision: np.ndarray, shift: np.ndarray):
         step = self.add << shift
         self.by_state[self.row_a] = self.of_a + step
         self.by_past[self.row_b] = self.of_b + step
-        x4 = (x << 2) + 1
-        # a hit adds one to the confidence, up to 3; else it is 1 again
-        self.seen1[self.at1] = x4 + (self.p1 == x) * np.minimum(self.c1, 2)
-        self.seen2[self.at2] = x4 + (self.p2 == x) * np.minimum(self.c2, 2)
-        self.past[:m] = (self.past[:m] << 2 | decision) & 63
-        self.x2[:m], self.x1[:m] = self.x1[:m], x
+        x = x << 5
+        # a hit adds one to the confidence, up to 3; else it is 1 again. Two bits each: from bit 1 on and from bit 3 on
+        self.seen1[self.at1] = x + 2 + hit1 * np.minimum(self.c1, 4)
+        self.seen2[self.at2] = x + 8 + hit2 * np.minimum(self.c2, 16)
+        self.past[:m] = (self.past[:m] << 2 | decision) & 15
+        self.x2[:m], self.x1[:m] = self.x1[:m], x >> 5
 
 
 def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[int, bytes]]:
@@ -149,7 +149,8 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
         m = lanes if t < last else lanes - 1
         model.predict(m)
         now = x[t, :m]
-        right1, right2 = (model.p1 == now) & (model.c1 > 0), (model.p2 == now) & (model.c2 > 0)
+        hit1, hit2 = model.p1 == now, model.p2 == now
+        right1, right2 = hit1 & (model.c1 > 0), hit2 & (model.c2 > 0)
         decision = np.where(right2, 0, 2 - right1)
         start, freq, shift = model.span(decision)
         r = span[:m] // model.total
@@ -161,7 +162,7 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
         lo = lo + np.where(missed, r * table.before.take(now), 0)
         sp = np.where(missed, r * table.freq.take(now), sp)
         low[:m], span[:m] = moved(lo, sp, m)
-        model.update(m, now, decision, shift)
+        model.update(m, now, hit1, hit2, decision, shift)
     # one more word names a number within the span
     end = (low + (_TOP - U(1))) >> _W32
     over = np.flatnonzero(end >> _W16)
@@ -182,7 +183,7 @@ def decode(blocks: list[tuple[int, bytes]], table: Table, block: int = BLOCK) ->
     sizes = np.asarray([blocks[i][0] for i in order])
     lanes, steps = len(order), int(sizes[0]) if len(order) else 0
     if not steps:
-        return [np.empty(0, np.int64) for _ in blocks]
+        return [np.empty(0, np.uint32) for _ in blocks]
     width = max(len(b) // 2 for _, b in blocks) + 8  # beyond the last word there are zeros
     words = np.zeros((lanes, width), np.uint16)
     for k, i in enumerate(order):
@@ -223,12 +224,12 @@ def decode(blocks: list[tuple[int, bytes]], table: Table, block: int = BLOCK) ->
             he[k], sp[k] = rest - r * table.before.take(found), r * table.freq.take(found)
         held[:m], span[:m] = moved(he, sp, m)
         x[t, :m] = now
-        model.update(m, now, decision, shift)
-    ids = table.ids.astype(np.int64)
+        model.update(m, now, model.p1 == now, model.p2 == now, decision, shift)
+    ids = table.ids
     out: list = [None] * lanes
     rows = np.ascontiguousarray(x.T)
     for k, i in enumerate(order):
-        out[i] = ids[rows[k, : sizes[k]]]
+        out[i] = ids.take(rows[k, : sizes[k]])
     return out
 
 

@@ -26,7 +26,7 @@ from sluice.llm import range_coder, tokens
 from sluice.llm import textcore as tc
 from sluice.llm.common import keyed, load, shared_folder
 
-END, FRAME = 1, 1 << 22
+END, FRAME = 1, 1 << 23
 MAGIC = b"SLF2"
 _DOC = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 _BLOCK = np.dtype([("n", "<u4"), ("bytes", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
@@ -73,7 +73,7 @@ def unpack_frame(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         if range_coder.checksum(ids) != crc:
             raise ValueError(f"block {i}'s ids are damaged")
     doc_ids = [i if k else None for i, k in zip(docs["id"].tolist(), docs["known"].tolist())]
-    return doc_ids, docs["n"].astype(np.int64), np.concatenate(found) if found else np.empty(0, np.int32)
+    return doc_ids, docs["n"].astype(np.int64), np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
 def frames(docs: DataFrame, end: int = END, tokenizer: str = tokens.TOKENIZER, frame: int = FRAME) -> DataFrame:
@@ -147,7 +147,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                 crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())), np.int64, len(n))
                 out = [pa.array(doc_ids, pa.int64()), pa.array(start + edges[:-1]), pa.array(n), pa.array(crc)]
                 if ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found.astype(np.int32))))
+                    out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     return based.mapInArrow(open_, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)

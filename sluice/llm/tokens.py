@@ -212,9 +212,11 @@ class Pieces:
             return self._whole(column, end)
         distinct, number, counts = tc.split(_lowered(tc.strings(column)))
         flat, start, length = self.look(distinct)
-        length = length[number]
+        length = length.take(number)
         before = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(start[number] - before[:-1], length) + np.arange(before[-1])]
+        at = np.repeat((start.take(number) - before[:-1]).astype(np.int32), length)  # a slice of texts is far below 2**31 ids
+        at += np.arange(before[-1], dtype=np.int32)
+        ids = flat.take(at)
         edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         n = before[edges[1:]] - before[edges[:-1]]
         if end is not None:
@@ -266,8 +268,13 @@ def _lowered(column):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    as_is = pc.match_substring_regex(column.cast(pa.string()), "[\u0300-\u036f]|<[|]")
-    return pc.if_else(as_is, column, pc.ascii_lower(column))
+    column = column.cast(pa.string())
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held else np.empty(0, np.uint8)
+    if ((data == 0xCC) | (data == 0xCD)).any() or ((data[:-1] == 60) & (data[1:] == 124)).any():  # such marks begin with one of these bytes
+        as_is = pc.match_substring_regex(column, "[\u0300-\u036f]|<[|]")
+        return pc.if_else(as_is, column, pc.ascii_lower(column))
+    return pc.ascii_lower(column)
 
 
 def pieces(name: str = TOKENIZER) -> Pieces:
