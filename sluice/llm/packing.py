@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer:
 
         import pyarrow as pa
 
-        for batch in tc.sliced(batches, 1):
+        for batch in tc.sliced(batches, 1, tokens.SLICE):
             all_ids, counts = tokens.pieces(tokenizer).encode(batch.column(1), end)
             all_ids = all_ids.astype("<u4")
             n = -(-counts // capacity)

@@ -173,7 +173,8 @@ def encode(numbers: np.ndarray, table: Table, block: int = BLOCK) -> list[tuple[
     used = to - np.arange(lanes) * width
     for j in range(int(used.max()) - 1, 0, -1):  # carries run on
         words[:, j - 1] += words[:, j] >> 16
-    words = (words & 0xFFFF).astype("<u2")
+    words &= 0xFFFF
+    words = words.astype("<u2")
     return [(block if i < lanes - 1 else last, words[i, :k].tobytes()) for i, k in enumerate(used.tolist())]
 
 

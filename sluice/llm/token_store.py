@@ -88,13 +88,13 @@ def frames(docs: DataFrame, end: int = END, tokenizer: str = tokens.TOKENIZER, f
 
         def flush():
             nonlocal seq, first, names, counts, ids, held
-            n = np.concatenate(counts)
-            row = {"part": part, "seq": seq, "first": first, "n_tokens": held, "frame": pack_frame(names, n, np.concatenate(ids))}
+            all_, ids = np.concatenate(ids), []
+            row = {"part": part, "seq": seq, "first": first, "n_tokens": held, "frame": pack_frame(names, np.concatenate(counts), all_)}
             seq, first = seq + 1, first + held
-            names, counts, ids, held = [], [], [], 0
+            names, counts, held = [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for batch in tc.sliced(batches, 1):
+        for batch in tc.sliced(batches, 1, tokens.SLICE):
             found, n = tokens.pieces(tokenizer).encode(batch.column(1), end)
             ends, doc, at = np.cumsum(n), batch.column(0).to_pylist(), 0
             while at < len(n):

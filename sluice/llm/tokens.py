@@ -19,7 +19,9 @@ from sluice.llm import textcore as tc
 #: The tokenizer's name among the public files, the parameter of every operator that tokenizes.
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBER = 500_000
+REMEMBER = 150_000
+#: Bytes of text that are encoded at once: the more, the fewer pieces are distinct.
+SLICE = 16 << 20
 #: Bytes of a piece that is merged with others at once; longer ones go to the tokenizer.
 LONGEST = 64
 
@@ -212,11 +214,16 @@ class Pieces:
             return self._whole(column, end)
         distinct, number, counts = tc.split(_lowered(tc.strings(column)))
         flat, start, length = self.look(distinct)
+        del distinct
         length = length.take(number)
         before = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat((start.take(number) - before[:-1]).astype(np.int32), length)  # a slice of texts is far below 2**31 ids
+        first = (start.take(number) - before[:-1]).astype(np.int32)  # a slice of texts is far below 2**31 ids
+        del number
+        at = np.repeat(first, length)
+        del first, length
         at += np.arange(before[-1], dtype=np.int32)
         ids = flat.take(at)
+        del at
         edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         n = before[edges[1:]] - before[edges[:-1]]
         if end is not None:
