@@ -108,7 +108,8 @@ def test_children_hold_every_piece():
         assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= 2048
 
 
-def test_suffix_ranks(spark):
+@pytest.mark.parametrize("local", [0, 40, 10_000])
+def test_suffix_ranks(spark, local):
     import bisect
     import random
 
@@ -116,11 +117,30 @@ def test_suffix_ranks(spark):
 
     r = random.Random(5)
     seqs = [[r.choice([1, 2, -3]) for _ in range(r.randint(1, 20))] for _ in range(8)] + [[5] * 12, [5] * 9, [1, 2, -3] * 5]
-    got = {(x.seq, x.i): x["rank"] for x in suffix_array.ranks(spark.createDataFrame(list(enumerate(seqs)), "seq long, s array<long>")).collect()}
+    got = {(x.seq, x.i): x["rank"] for x in suffix_array.ranks(spark.createDataFrame(list(enumerate(seqs)), "seq long, s array<long>"), local=local).collect()}
     every = sorted(tuple(s[i:]) for s in seqs for i in range(len(s)))
     assert got == {(k, i): bisect.bisect_left(every, tuple(s[i:])) for k, s in enumerate(seqs) for i in range(len(s))}
 
 
+def test_ranks_where_one_triple_fills_half_the_rows(spark):
+    from collections import Counter
+
+    from sluice.llm import suffix_array
+
+    r = np.random.default_rng(0)
+    rows = [(i, 0, *((7, 7, 7) if i % 2 else r.integers(0, 9, 3).tolist()), int(i % 2)) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    full, kinds, table = suffix_array.counted(spark.createDataFrame(rows, "seq long, i long, x long, y long, z long, cls long").repartition(4), ["x", "y", "z"], 2, "t")
+    most = max(x[1] for x in table.groupBy("_part").count().collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tally, less, so_far = Counter((k[2:5], k[5]) for k in rows), {}, [0, 0]
+    for key in sorted({k[2:5] for k in rows}):
+        less[key] = tuple(so_far)
+        so_far = [n + tally[key, c] for c, n in enumerate(so_far)]
+    assert kinds == len(less) and {(x.x, x.y, x.z): (x.less0, x.less1) for x in full.collect()} == less
+    assert most < 1600  # equal triples are dealt to several tasks
+
+
 def test_components(spark):
     from sluice.llm.components import components
 
