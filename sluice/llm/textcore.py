@@ -84,9 +84,16 @@ def inverse(m: int) -> int:
 
 
 def powers(m: int, n: int) -> np.ndarray:
-    out = np.full(n, m, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
+    """1, m, m**2, ... modulo 2**64; those up to 4 million stay in the worker."""
+    held = sys.__dict__.setdefault("_sluice_powers", {})
+    if n > 1 << 22 or len(held.get(m, ())) < n:
+        out = np.full(min(max(n, 1 << 20), 1 << 22) if n <= 1 << 22 else n, m, U)
+        out[:1] = 1
+        out = np.multiply.accumulate(out)
+        if n > 1 << 22:
+            return out
+        held[m] = out
+    return held[m][:n]
 
 
 class Rolling:
