@@ -61,3 +61,18 @@ def test_the_pipeline_gives_ids(spark, tables):
 
     found = corpus_pipeline.pack(spark, spark.read.parquet(f"{tables['full']}/documents.parquet"), tables["full"]).collect()
     assert found and all(len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 for r in found)
+
+
+def test_texts_without_repeats_and_texts_of_several_megabytes(spark):
+    from sluice.llm import suffix_dedup
+
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"{r.getrandbits(24):x}" for _ in range(n))
+    alone = [(i, prose(200)) for i in range(40)]
+    out = suffix_dedup.cut(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.n_bytes, x.n_removed) for x in out} == {(i, len(t), 0) for i, t in alone}
+    shared, long_ = prose(100), prose(400_000)
+    rows = [(1, long_ + shared), (2, shared + "."), (3, prose(100))]
+    out = {x.doc_id: x for x in suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, out[i].n_removed) for i in (1, 2, 3)] == [(1, len(shared)), (2, len(shared)), (3, 0)]
+    assert bytes(out[1]["_kept"]) == long_.encode() and bytes(out[2]["_kept"]) == b"."
