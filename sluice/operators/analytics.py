@@ -281,6 +281,26 @@ def percentiles(rows: DataFrame, value: str, keys: list[str], at: tuple[float, .
     return rows.groupBy(*keys).agg(*picks)
 
 
+def queue_lag(rows: DataFrame, start: int, end: int, queue: str | None = None) -> DataFrame:
+    """Lag rows (bucket, queue, pop_count, avg_lag_ms, max_lag_ms) of a time range, newest first."""
+    out = rows.filter(F.col("bucket").between(start, end))
+    return (out if queue is None else out.filter(F.col("queue") == queue)).orderBy(F.desc("bucket"), "queue")
+
+
+def parked(rows: DataFrame, start: int, end: int, queue: str | None = None) -> DataFrame:
+    """Per bucket, queue and replica (hostname, worker_id) the mean number of parked consumers, a missing number counting as none."""
+    out = rows.filter(F.col("created_at").between(start, end))
+    out = out if queue is None else out.filter(F.col("queue") == queue)
+    bucket = floor_to(F.col("created_at"), bucket_seconds(start, end)).alias("bucket")
+    return out.groupBy(bucket, "queue", "hostname", "worker_id").agg(F.round(F.avg(F.coalesce("parked", F.lit(0)).cast("double")), 2).alias("parked"))
+
+
+def lifecycle(created: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Lanes created and deleted (queue, at) per minute and queue; those whose queue is gone count as `__orphaned__`."""
+    both = created.select("queue", "at", F.lit(1).alias("c"), F.lit(0).alias("d")).union(deleted.select("queue", "at", F.lit(0).alias("c"), F.lit(1).alias("d")))
+    return both.groupBy(floor_to(F.col("at"), 60).alias("bucket"), F.coalesce("queue", F.lit("__orphaned__")).alias("queue")).agg(F.sum("c").alias("partitions_created"), F.sum("d").alias("partitions_deleted"))
+
+
 # --- traces -----------------------------------------------------------------------------------------
 
 
@@ -302,3 +322,12 @@ def trace_names(traces: DataFrame, limit: int | None = None, offset: int = 0) ->
     each = traces.select(F.explode("names").alias("name"), "trace_id", "message_id", "created_at")
     out = each.groupBy("name").agg(F.count("*").alias("traces"), F.count_distinct("message_id").alias("messages"), F.max("created_at").alias("last_seen"))
     return out if limit is None else out.orderBy(F.desc("last_seen"), "name").offset(offset).limit(limit)
+
+
+def record_traces(messages: DataFrame, events: DataFrame) -> DataFrame:
+    """events (idx, queue, partition, transaction_id, consumer_group, event_type, data, worker, names) with defaults filled in, the message they belong to and `error` (null: recorded). Each name counts once."""
+    known = messages.select(*LANE, "transaction_id", F.col("id").alias("message_id"))
+    met = events.join(known, [*LANE, "transaction_id"], "left")
+    filled = {"consumer_group": F.lit(QUEUE_MODE), "event_type": F.lit("info"), "data": F.lit("{}"), "names": F.array().cast("array<string>")}
+    out = met.withColumns({c: F.coalesce(c, default) for c, default in filled.items()}).withColumn("names", F.array_distinct("names"))
+    return out.withColumn("error", F.when(F.col("message_id").isNull(), "Message not found"))

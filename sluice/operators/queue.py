@@ -34,7 +34,7 @@ def place(at: str = "created_at", id_: str = "id", of: str | None = None) -> Col
 
 
 def with_defaults(items: DataFrame) -> DataFrame:
-    """Fills an item's defaults: the partition, a transaction id of its own, an empty payload; namespace and task from a dotted queue name."""
+    """Fills an item's defaults: the partition, a transaction id of its own, an empty payload; namespace and task, where not given, from a dotted queue name."""
     has = set(items.columns)
     col = lambda c, default: F.coalesce(F.col(c), default) if c in has else default
     parts = F.split("queue", r"\.")
@@ -42,8 +42,8 @@ def with_defaults(items: DataFrame) -> DataFrame:
         items.withColumn("partition", col("partition", F.lit("Default")))
         .withColumn("transaction_id", col("transaction_id", F.uuid()))
         .withColumn("payload", col("payload", F.lit("{}")))
-        .withColumn("namespace", F.get(parts, 0))
-        .withColumn("task", F.coalesce(F.get(parts, 1), F.lit("")))
+        .withColumn("namespace", col("namespace", F.get(parts, 0)))
+        .withColumn("task", col("task", F.coalesce(F.get(parts, 1), F.lit(""))))
     )
 
 
@@ -162,38 +162,61 @@ def validated(acks: DataFrame, messages: DataFrame, cursors: DataFrame, now: int
     return met.withColumn("error", F.when(F.col("_at").isNull(), "Message not found").when(~live, "Invalid or expired lease"))
 
 
-def ack(cursors: DataFrame, accepted: DataFrame, now: int) -> DataFrame:
-    """cursors after accepted acks. Completed and dead-lettered rows move the cursor to the furthest of them (all before it are done with).
+def _folded(accepted: DataFrame) -> DataFrame:
+    """Per lane `_state`: what its accepted acks, taken in the order of their messages, make of the cursor, and the rows they dead-letter.
 
-    A failed row with retries left frees the lease and counts one; `retry` frees it without counting.
+    A lane's acks are folded as one list: those of a batch, which its lease bounds.
     """
     lane = [*LANE, "consumer_group"]
-    spent = (F.col("status") == "failed") & (F.coalesce(F.col("retries"), F.lit(0)) >= F.col("retry_limit"))
-    moves = F.col("status").isin("completed", "dlq") | spent
-    per = accepted.filter(F.col("error").isNull()).groupBy(*lane).agg(
-        F.max(F.when(moves, F.struct(F.col("_at").alias("at"), F.col("_id").alias("id")))).alias("_to"),
-        F.count(F.when(moves, 1)).cast("int").alias("_done"),
-        F.coalesce(F.bool_or((F.col("status") == "failed") & ~spent), F.lit(False)).alias("_failed"),
-        F.coalesce(F.bool_or(F.col("status") == "retry"), F.lit(False)).alias("_retry"),
+    held = F.first(F.struct(F.col("_until").alias("lease_until"), F.col("_worker").alias("worker"), F.coalesce("acked", F.lit(0)).alias("acked"), F.coalesce("batch_size", F.lit(0)).alias("batch_size"), F.coalesce("retries", F.lit(0)).alias("retries"))).alias("_held")
+    acks = F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"), "status", "retry_limit", "reason"))).alias("_acks")
+    per = accepted.filter(F.col("error").isNull()).groupBy(*lane).agg(held, acks)
+    dead = "array<struct<id:bigint,error:string,retry_count:int>>"
+    start = F.struct(
+        F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("id"), F.col("_held.lease_until").cast("long").alias("lease_until"), F.col("_held.worker").cast("string").alias("worker"),
+        *[F.col(f"_held.{c}").cast("int").alias(c) for c in ("acked", "batch_size", "retries")], F.array().cast(dead).alias("dead"),
     )
-    met = cursors.join(per, lane, "left")
-    acked = F.coalesce("acked", F.lit(0)) + F.coalesce("_done", F.lit(0))
-    free = F.coalesce(F.col("_failed") | F.col("_retry"), F.lit(False)) | ((F.coalesce("_done", F.lit(0)) > 0) & (acked >= F.coalesce("batch_size", F.lit(0))))
-    to = F.greatest(F.struct(F.col("last_at").alias("at"), F.col("last_id").alias("id")), F.col("_to"))
-    out = {
-        "last_at": F.coalesce(to["at"], "last_at"), "last_id": F.coalesce(to["id"], "last_id"),
-        "lease_until": F.when(~free, F.col("lease_until")), "worker": F.when(~free, F.col("worker")),
-        "acked": F.when(free, 0).otherwise(acked).cast("int"),
-        "retries": F.when(F.col("_failed"), F.coalesce("retries", F.lit(0)) + 1).when(F.col("_done") > 0, 0).otherwise(F.coalesce("retries", F.lit(0))).cast("int"),
-    }
+
+    def step(s, e):
+        done, failed = e["status"].isin("completed", "success"), e["status"] == "failed"
+        gone = (e["status"] == "dlq") | (failed & (s["retries"] >= e["retry_limit"]))
+        again = failed & ~gone & s["worker"].isNotNull()
+        moves, full = done | gone, (s["batch_size"] > 0) & (s["acked"] + 1 >= s["batch_size"])
+        free = (moves & full) | again | (e["status"] == "retry")
+        letter = F.struct(e["id"].cast("long").alias("id"), F.coalesce(e["reason"], F.lit("Retries exhausted")).alias("error"), s["retries"].alias("retry_count"))
+        out = {
+            "at": F.when(moves, e["at"].cast("long")).otherwise(s["at"]), "id": F.when(moves, e["id"].cast("long")).otherwise(s["id"]),
+            "lease_until": F.when(~free, s["lease_until"]), "worker": F.when(~free, s["worker"]),
+            "acked": F.when(again | (moves & full), 0).when(moves, s["acked"] + 1).otherwise(s["acked"]),
+            "batch_size": F.when(again, 0).otherwise(s["batch_size"]),
+            "retries": F.when(again, s["retries"] + 1).when(done & full, 0).otherwise(s["retries"]),
+            "dead": F.when(gone, F.concat(s["dead"], F.array(letter).cast(dead))).otherwise(s["dead"]),
+        }
+        return F.struct(*[c.alias(k) for k, c in out.items()])
+
+    return per.select(*lane, F.aggregate("_acks", start, step).alias("_state"))
+
+
+def ack(cursors: DataFrame, accepted: DataFrame, now: int) -> DataFrame:
+    """cursors after accepted acks, each lane's in the order of its messages.
+
+    `completed` (or `success`) and dead-lettered rows move the cursor, never back, and count towards the batch; the
+    row that completes it frees the lease, and the retries begin anew if it was a completed one. A `failed` row with
+    retries left frees the lease, drops the batch and counts a retry, if the lane has a worker; `retry` frees the lease.
+    """
+    lane = [*LANE, "consumer_group"]
+    met = cursors.join(_folded(accepted), lane, "left")
+    to = F.greatest(F.struct(F.col("last_at").cast("long").alias("at"), F.col("last_id").cast("long").alias("id")), F.when(F.col("_state.at").isNotNull(), F.struct(F.col("_state.at").alias("at"), F.col("_state.id").alias("id"))))
+    acked = F.col("_state").isNotNull()
+    out = {"last_at": F.coalesce(to["at"], "last_at"), "last_id": F.coalesce(to["id"], "last_id")}
+    out |= {c: F.when(acked, F.col(f"_state.{c}")).otherwise(F.col(c)) for c in ("lease_until", "worker", "acked", "batch_size", "retries")}
     return met.select(*[out[c].alias(c) if c in out else F.col(c) for c in cursors.columns])
 
 
 def dead_letters(accepted: DataFrame, now: int) -> DataFrame:
-    """The dead-letter rows of accepted acks: status `dlq`, or `failed` beyond the retry limit."""
-    spent = (F.col("status") == "failed") & (F.coalesce(F.col("retries"), F.lit(0)) >= F.col("retry_limit"))
-    gone = accepted.filter(F.col("error").isNull() & ((F.col("status") == "dlq") | spent))
-    return gone.select(F.col("_id").alias("id"), *LANE, "consumer_group", F.col("reason").alias("error"), F.coalesce("retries", F.lit(0)).alias("retry_count"), F.lit(now).cast("long").alias("failed_at"))
+    """The dead-letter rows of accepted acks: status `dlq`, or `failed` when the retries are spent."""
+    gone = _folded(accepted).select(*LANE, "consumer_group", F.explode("_state.dead").alias("_d"))
+    return gone.select("_d.id", *LANE, "consumer_group", "_d.error", "_d.retry_count", F.lit(now).cast("long").alias("failed_at"))
 
 
 def transaction(messages: DataFrame, items: DataFrame, cursors: DataFrame, acks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

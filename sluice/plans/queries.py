@@ -230,20 +230,19 @@ def sliding_window_gate(spark, d):
 
 
 def _items(m: DataFrame) -> DataFrame:
-    """A batch: every third message again, twice, and a new one for each of those."""
-    some = lanes_only(m).filter("id % 3 = 0")
-    again = some.select((F.col("id") * 4).alias("idx"), (F.col("id") + 10**9).alias("id"), "transaction_id", *q.LANE, "created_at")
+    """A batch: every message again, and twice a new one for each."""
+    again = lanes_only(m).select((F.col("id") * 4).alias("idx"), (F.col("id") + 10**9).alias("id"), "transaction_id", *q.LANE, "created_at")
     new = again.select((F.col("idx") + 1).alias("idx"), "id", F.concat(F.lit("n"), "transaction_id").alias("transaction_id"), *q.LANE, "created_at")
     return again.union(new).union(new.select((F.col("idx") + 1).alias("idx"), (F.col("id") + 10**9).alias("id"), "transaction_id", *q.LANE, "created_at"))
 
 
-@query("SELECT id * 4 + o AS idx, CASE WHEN o = 1 THEN 'queued' ELSE 'duplicate' END AS status, CASE WHEN o = 0 THEN id ELSE id + 1000000000 END AS message_id FROM ev, range(3) r(o) WHERE id % 3 = 0", EV)
+@query("SELECT id * 4 + o AS idx, CASE WHEN o = 1 THEN 'queued' ELSE 'duplicate' END AS status, CASE WHEN o = 0 THEN id ELSE id + 1000000000 END AS message_id FROM ev, range(3) r(o)", EV)
 def push_status(spark, d):
     m = from_events(spark, d)
     return q.push(lanes_only(m), _items(m)).select("idx", "status", "message_id")
 
 
-@query("SELECT id + 1000000000 AS id, 'n' || transaction_id AS transaction_id, queue, partition, created_at FROM ev WHERE id % 3 = 0", EV)
+@query("SELECT id + 1000000000 AS id, 'n' || transaction_id AS transaction_id, queue, partition, created_at FROM ev", EV)
 def push_dedup(spark, d):
     m = from_events(spark, d)
     return q.appended(q.push(lanes_only(m), _items(m)))
@@ -297,34 +296,54 @@ def pop_lease(spark, d):
 
 
 def _acks(m: DataFrame, status) -> DataFrame:
-    """An acknowledgement by beta for every message of the days after its cursor."""
-    rows = m.filter((F.col("created_at") > SECOND_CUT) & (F.col("created_at") <= SECOND_CUT + 2 * DAY) & (F.col("partition").cast("long") % 2 == 0))
-    return rows.select(F.col("id").alias("idx"), *q.LANE, "transaction_id", F.lit("beta").alias("consumer_group"), F.lit("w1").alias("worker"), status.alias("status"), F.lit("why").alias("reason"), F.lit(0).alias("retry_limit"))
-
-
-_ACKED = f"SELECT * FROM ev WHERE created_at > {SECOND_CUT} AND created_at <= {SECOND_CUT + 2 * DAY} AND user_id % 2 = 0"
+    """An acknowledgement by beta for every message after its cut-off; of odd partitions it holds no lease."""
+    rows = m.filter(F.col("created_at") > SECOND_CUT)
+    return rows.select(F.col("id").alias("idx"), *q.LANE, "transaction_id", F.lit("beta").alias("consumer_group"), F.lit("w1").alias("worker"), status.alias("status"), F.when(F.col("id") % 2 == 0, "why").alias("reason"), F.lit(1).alias("retry_limit"))
+
+
+def _mixed(m: DataFrame):
+    """All kinds of acknowledgements, mostly good ones."""
+    k = F.col("payload.k") % 8
+    return F.when(k == 1, "success").when(k == 2, "failed").when(k == 3, "dlq").when(k == 4, "retry").otherwise("completed")
+
+
+_ACKED = f"SELECT * FROM ev WHERE created_at > {SECOND_CUT}"
+_HELD = f"""a AS (SELECT queue, partition, created_at, id, row_number() OVER (PARTITION BY queue, partition ORDER BY created_at, id) AS rn,
+  CASE k % 8 WHEN 1 THEN 'success' WHEN 2 THEN 'failed' WHEN 3 THEN 'dlq' WHEN 4 THEN 'retry' ELSE 'completed' END AS st FROM ({_ACKED}) WHERE user_id % 2 = 0)"""
+_DONE, _FULL = "st IN ('completed', 'success')", "(size > 0 AND acked + 1 >= size)"
+_GONE = "(st = 'dlq' OR (st = 'failed' AND retries >= 1))"
+_AGAIN = f"(st = 'failed' AND NOT {_GONE} AND worker IS NOT NULL)"
+_MOVES = f"({_DONE} OR {_GONE})"
+_FREE = f"(({_MOVES} AND {_FULL}) OR {_AGAIN} OR st = 'retry')"
+#: One step for each acknowledgement of a lane, in order.
+_FOLD = f"""f AS (
+  SELECT queue, partition, 0::BIGINT AS rn, last[1] AS pos, last[2] AS lid, {NOW + DAY}::BIGINT AS lease_until, 'w1' AS worker, 2 AS acked, 5 AS size, 0 AS retries, NULL::BIGINT AS dead, NULL::INT AS dead_retries FROM cur WHERE consumer_group = 'beta'
+  UNION ALL SELECT f.queue, f.partition, a.rn, CASE WHEN {_MOVES} THEN a.created_at ELSE pos END, CASE WHEN {_MOVES} THEN a.id ELSE lid END,
+    CASE WHEN NOT {_FREE} THEN lease_until END, CASE WHEN NOT {_FREE} THEN worker END,
+    CASE WHEN {_AGAIN} OR ({_MOVES} AND {_FULL}) THEN 0 WHEN {_MOVES} THEN acked + 1 ELSE acked END, CASE WHEN {_AGAIN} THEN 0 ELSE size END,
+    CASE WHEN {_AGAIN} THEN retries + 1 WHEN {_DONE} AND {_FULL} THEN 0 ELSE retries END, CASE WHEN {_GONE} THEN a.id END, CASE WHEN {_GONE} THEN retries END
+  FROM f JOIN a ON f.queue = a.queue AND f.partition = a.partition AND a.rn = f.rn + 1)"""
 
 
 @query(
-    f"""SELECT c.queue, c.partition, c.consumer_group, coalesce(x.pos, c.last[1]) AS last_at, coalesce(x.id, c.last[2]) AS last_id FROM cur c LEFT JOIN
-  (SELECT queue, partition, arg_max(created_at, row(created_at, id)) AS pos, arg_max(id, row(created_at, id)) AS id FROM ({_ACKED}) GROUP BY queue, partition) x ON c.queue = x.queue AND c.partition = x.partition AND c.consumer_group = 'beta'""",
-    EV, CUR,
+    """SELECT c.queue, c.partition, c.consumer_group, coalesce(x.pos, c.last[1]) AS last_at, coalesce(x.lid, c.last[2]) AS last_id, x.lease_until, x.worker, coalesce(x.acked, 2) AS acked, coalesce(x.size, 5) AS batch_size, coalesce(x.retries, 0) AS retries
+  FROM cur c LEFT JOIN (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY queue, partition ORDER BY rn DESC) = 1) x ON c.queue = x.queue AND c.partition = x.partition AND c.consumer_group = 'beta'""",
+    "RECURSIVE " + EV, CUR, _HELD, _FOLD,
 )
 def ack_cumulative(spark, d):
     m = from_events(spark, d)
-    checked = q.validated(_acks(m, F.lit("completed")), lanes_only(m), cursors(m), NOW)
-    return q.ack(cursors(m), checked, NOW).select(*q.LANE, "consumer_group", "last_at", "last_id")
+    checked = q.validated(_acks(m, _mixed(m)), lanes_only(m), cursors(m), NOW)
+    return q.ack(cursors(m), checked, NOW).select(*q.LANE, "consumer_group", "last_at", "last_id", "lease_until", "worker", "acked", "batch_size", "retries")
 
 
-@query(f"SELECT id, queue, partition, 'why' AS error FROM ({_ACKED}) WHERE k % 3 <> 0", EV)
+@query("SELECT dead AS id, queue, partition, CASE WHEN dead % 2 = 0 THEN 'why' ELSE 'Retries exhausted' END AS error, dead_retries AS retry_count FROM f WHERE dead IS NOT NULL", "RECURSIVE " + EV, CUR, _HELD, _FOLD)
 def dlq_split(spark, d):
     m = from_events(spark, d)
-    status = F.when(F.col("payload.k") % 3 == 0, "completed").when(F.col("payload.k") % 3 == 1, "dlq").otherwise("failed")
-    checked = q.validated(_acks(m, status), lanes_only(m), cursors(m), NOW)
-    return q.dead_letters(checked, NOW).select("id", *q.LANE, "error")
+    checked = q.validated(_acks(m, _mixed(m)), lanes_only(m), cursors(m), NOW)
+    return q.dead_letters(checked, NOW).select("id", *q.LANE, "error", "retry_count")
 
 
-@query(f"SELECT id AS idx, CASE WHEN id % 5 = 0 THEN 'Message not found' WHEN id % 7 = 0 THEN 'Invalid or expired lease' END AS error FROM ({_ACKED})", EV)
+@query(f"SELECT id AS idx, CASE WHEN id % 5 = 0 THEN 'Message not found' WHEN id % 7 = 0 OR user_id % 2 = 1 THEN 'Invalid or expired lease' END AS error FROM ({_ACKED})", EV)
 def ack_errors(spark, d):
     m = from_events(spark, d)
     acks = _acks(m, F.lit("completed")).withColumn("transaction_id", F.when(F.col("idx") % 5 == 0, "nobody").otherwise(F.col("transaction_id"))).withColumn("worker", F.when(F.col("idx") % 7 == 0, "w2").otherwise(F.col("worker")))
@@ -686,6 +705,69 @@ def sealed_payloads(spark, d):
     return rows.select("id", scalars.decrypt(F.col("sealed"), key).alias("props"))
 
 
+# --- what the queue's own tables would hold, made of the events ---------------------------------------
+
+
+@query(f"SELECT bucket, queue, count(*) AS pop_count, sum(k) AS lag_ms, max(k) AS max_lag_ms FROM (SELECT created_at // 60000000 * 60000000 AS bucket, queue, k FROM ev) WHERE bucket BETWEEN {FIRST} AND {SECOND_CUT} AND queue = 'error' GROUP BY bucket, queue", EV)
+def queue_lag_rows(spark, d):
+    rows = from_events(spark, d).withColumn("k", F.col("payload.k")).groupBy(F.expr("created_at div 60000000 * 60000000").alias("bucket"), "queue")
+    rows = rows.agg(F.count("*").alias("pop_count"), F.sum("k").alias("lag_ms"), F.max("k").alias("max_lag_ms"))
+    return a.queue_lag(rows, FIRST, SECOND_CUT, "error")
+
+
+@query(f"SELECT created_at // 21600000000 * 21600000000 AS bucket, queue, 'h' || user_id % 3 AS hostname, k % 2 AS worker_id, round(avg(CASE WHEN id % 4 = 0 THEN 0 ELSE k END)::DOUBLE, 2) AS parked FROM ev WHERE created_at BETWEEN {FIRST} AND {NOW} GROUP BY ALL", EV)
+def parked_replicas(spark, d):
+    m = from_events(spark, d)
+    rows = m.select("created_at", "queue", F.concat(F.lit("h"), (F.col("partition").cast("long") % 3).cast("string")).alias("hostname"), (F.col("payload.k") % 2).alias("worker_id"), F.when(F.col("id") % 4 != 0, F.col("payload.k")).alias("parked"))
+    return a.parked(rows, FIRST, NOW)
+
+
+@query(
+    """SELECT pos // 60000000 * 60000000 AS bucket, coalesce(CASE WHEN gone = 0 OR queue <> 'error' THEN queue END, '__orphaned__') AS queue, sum(1 - gone) AS partitions_created, sum(gone) AS partitions_deleted
+  FROM (SELECT queue, min(created_at) AS pos, 0 AS gone FROM ev GROUP BY queue, partition UNION ALL SELECT queue, max(created_at), 1 FROM ev GROUP BY queue, partition) GROUP BY 1, 2""",
+    EV,
+)
+def partition_lifecycle(spark, d):
+    lanes = from_events(spark, d).groupBy(*q.LANE).agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    return a.lifecycle(lanes.select("queue", F.col("first").alias("at")), lanes.select(F.when(F.col("queue") != "error", F.col("queue")).alias("queue"), F.col("last").alias("at")))
+
+
+@query(
+    f"""SELECT id AS idx, CASE WHEN k % 2 = 0 THEN 'g' ELSE '{q.QUEUE_MODE}' END AS consumer_group, CASE WHEN k % 3 = 0 THEN 'step' ELSE 'info' END AS event_type, CASE WHEN k % 5 <> 0 THEN id END AS message_id,
+  CASE WHEN k % 7 = 0 THEN '' ELSE 'all,k' || k END AS names, CASE WHEN k % 5 = 0 THEN 'Message not found' END AS error FROM ev""",
+    EV,
+)
+def traces_recorded(spark, d):
+    m, k = from_events(spark, d), F.col("payload.k")
+    names = F.when(k % 7 != 0, F.array(F.lit("all"), F.concat(F.lit("k"), k.cast("string")), F.lit("all")))
+    events = m.select(F.col("id").alias("idx"), *q.LANE, F.when(k % 5 == 0, "nobody").otherwise(F.col("transaction_id")).alias("transaction_id"), F.when(k % 2 == 0, "g").alias("consumer_group"), F.when(k % 3 == 0, "step").alias("event_type"), F.lit(None).cast("string").alias("data"), F.lit("w").alias("worker"), names.alias("names"))
+    out = a.record_traces(lanes_only(m), events)
+    return out.select("idx", "consumer_group", "event_type", "message_id", F.array_join("names", ",").alias("names"), "error")
+
+
+@query(
+    """SELECT id AS idx, coalesce(CASE WHEN k % 2 = 0 THEN 'own' END, split_part(name, '.', 1)) AS namespace, coalesce(CASE WHEN k % 3 = 0 THEN 'mine' END, split_part(name, '.', 2)) AS task, CASE WHEN k % 4 = 0 THEN partition ELSE 'Default' END AS partition
+  FROM (SELECT *, CASE WHEN k % 5 = 0 THEN queue ELSE queue || '.t' || k END AS name FROM ev)""",
+    EV,
+)
+def push_defaults(spark, d):
+    m, k = from_events(spark, d), F.col("payload.k")
+    name = F.when(k % 5 == 0, F.col("queue")).otherwise(F.concat("queue", F.lit(".t"), k.cast("string")))
+    items = m.select(F.col("id").alias("idx"), name.alias("queue"), F.when(k % 4 == 0, F.col("partition")).alias("partition"), F.when(k % 2 == 0, "own").alias("namespace"), F.when(k % 3 == 0, "mine").alias("task"))
+    return q.with_defaults(items).select("idx", "namespace", "task", "partition")
+
+
+@query(f"SELECT queue, partition, consumer_group, CASE WHEN consumer_group = 'beta' THEN {NOW + 2 * DAY} END AS lease_until FROM cur", EV, CUR)
+def lease_renewed(spark, d):
+    c = cursors(from_events(spark, d))
+    return q.renew(c, "w1", NOW, 2 * 86400).select(*q.LANE, "consumer_group", "lease_until")
+
+
+@query("SELECT count(*) AS messages, sum(k) AS k FROM ev", EV)
+def running_totals(spark, d):
+    return a.totals(from_events(spark, d).select(F.lit(1).alias("messages"), F.col("payload.k").alias("k")), ["messages", "k"])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

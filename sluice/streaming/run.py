@@ -46,6 +46,8 @@ def native(stream: Stream, messages: DataFrame) -> DataFrame:
     if plan.gate is not None or (plan.reducer is not None and plan.reducer.kind == "reduce"):
         raise PlanError("gates and ordered folds run in stateful mode")
     rows = stream.rows(messages)
+    if plan.window is not None and getattr(plan.window, "on_late", "drop") == "include":
+        raise PlanError("late rows are included in strict mode only: Spark's own windows drop them")
     if plan.window is not None:
         w, ts = plan.window, F.timestamp_micros("ts")
         timed = rows.withColumn("_ts", ts).withWatermark("_ts", f"{w.lateness + w.grace} seconds")
