@@ -43,13 +43,16 @@ def on_key(a: DataFrame, b: DataFrame, how: str, key: list[str] = KEY) -> DataFr
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares; a temporary one only where none is set and driver and executors are one machine."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sluice-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-ckpt-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
 

@@ -99,7 +99,7 @@ def _extended(docs: DataFrame, candidates: DataFrame, bench: DataFrame, lengths:
 
 def _hinted(bench: DataFrame, df: DataFrame) -> DataFrame:
     """df, derived from the benchmark's windows, marked for broadcast if those fit."""
-    size = bench.select(F.sum(F.length("window") + 8 * F.size("items") + 64)).first()[0] or 0
+    size = bench.select(F.sum(F.octet_length("window") + 8 * F.size("items") + 64)).first()[0] or 0
     return F.broadcast(df) if size < BROADCAST_BYTES else df
 
 

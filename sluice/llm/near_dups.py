@@ -24,7 +24,7 @@ sets; vanishing above 0.8). Hash values have 64 bits.
 
 Defined cases: texts without words (null, empty, blank) have no set, are linked with nothing and kept;
 fewer than 5 words are one shingle; repeated rows are one node, and each gets its row; a null doc_id is
-smaller than any other; an empty table gives no rows; extra columns pass through or are not read.
+smaller than any other (it stands as -2**63, which is no doc_id here); an empty table gives no rows; extra columns pass through or are not read.
 """
 
 from __future__ import annotations

@@ -35,6 +35,8 @@ RULES = [
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
 ]
 BASE = 3
+#: Matches whose places are summed up in one fold.
+_BLOCK = 256
 
 
 def queries(rules=RULES) -> dict[str, list[frozenset[str]]]:
@@ -62,15 +64,17 @@ def _sql(text: str) -> str:
 
 def _spans(order: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """Matches in _text, leftmost and apart, whose group is long enough: structs (s, o, e, kind)."""
+    sums = lambda some, value, step: f"aggregate({some}, struct(cast(array() as array<int>) as a, 0 as p), (_a, _i) -> struct(array_append(_a.a, _a.p + {value}) as a, _a.p + {step} as p))"
+    # a fold copies its array at each step, so sums run within blocks, then over blocks
+    blocks = f"transform(sequence(0, (size(_m) - 1) div {_BLOCK}), _k -> {sums(f'sequence(_k * {_BLOCK} + 1, least(size(_m), (_k + 1) * {_BLOCK}))', 'get(_b, _i - 1)', 'get(_b, _i - 1) + get(_m, _i - 1)')})"
+    starts = let(blocks, "_q", let(f"{sums('_q', '0', '_i.p')}.a", "_o", "flatten(transform(_q, (_x, _j) -> transform(_x.a, _y -> _y + get(_o, _j))))"))
     walk = let(
         f"transform(regexp_extract_all(_text, {_sql(pattern)}, 0), _x -> char_length(_x))",
         "_m",
         let(
             f"transform(split(_text, {_sql(pattern)}, -1), _x -> char_length(_x))",
             "_b",
-            f"""transform(zip_with(aggregate(sequence(1, size(_m)), struct(cast(array() as array<int>) as a, 0 as p),
-                  (_a, _i) -> struct(array_append(_a.a, _a.p + get(_b, _i - 1)) as a, _a.p + get(_b, _i - 1) + get(_m, _i - 1) as p)).a,
-                regexp_extract_all(_text, {_sql(pattern)}, {group}), (_s, _x) -> struct(_s as s, char_length(_x) as n)),
+            f"""transform(zip_with({starts}, regexp_extract_all(_text, {_sql(pattern)}, {group}), (_s, _x) -> struct(_s as s, char_length(_x) as n)),
               (_x, _i) -> struct(_x.s as s, {order} as o, _x.s + get(_m, _i) as e, '{kind}' as kind, _x.n as n))""",
         ),
     )

@@ -11,7 +11,7 @@ and settles the others itself, so no window has more rows than there are partiti
 The sketch's size is bounded (see countmin.py); beyond the bound more windows pass and the result is the same.
 
 Defined cases: a null or empty text has no words and stays as it is, empty; a null doc_id is smaller than any
-other; rows with one doc_id and text count as one place and get equal results; extra columns of any name
+other (it stands as -2**63, which is no doc_id here); rows with one doc_id and text count as one place and get equal results; extra columns of any name
 pass through; an empty table stays empty.
 """
 

@@ -76,3 +76,18 @@ def test_texts_without_repeats_and_texts_of_several_megabytes(spark):
     out = {x.doc_id: x for x in suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(i, out[i].n_removed) for i in (1, 2, 3)] == [(1, len(shared)), (2, len(shared)), (3, 0)]
     assert bytes(out[1]["_kept"]) == long_.encode() and bytes(out[2]["_kept"]) == b"."
+
+
+def test_a_text_of_many_secrets_takes_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from sluice.llm import secret_scan
+
+    n = 80_000
+    docs = spark.createDataFrame([(1, "é0123456789abcdef " * n), (2, "0123456789abcdef")], "doc_id long, text string")
+    secret_scan.scan(docs.filter("doc_id = 2")).count()
+    began = time.time()
+    out = {r.doc_id: r for r in secret_scan.scan(docs).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1)["s"].alias("s"), F.element_at("spans", -1)["e"].alias("e"), F.get("spans", 777)["s"].alias("k")).collect()}
+    assert (out[1].n, out[1].s, out[1].e, out[1].k) == (n, 18 * (n - 1) + 1, 18 * (n - 1) + 17, 18 * 777 + 1) and (out[2].n, out[2].s) == (1, 0)
+    assert time.time() - began < 30
