@@ -84,16 +84,16 @@ def inverse(m: int) -> int:
 
 
 def powers(m: int, n: int) -> np.ndarray:
-    """1, m, m**2, ... modulo 2**64; those up to 4 million stay in the worker."""
+    """1, m, m**2, ... modulo 2**64; a million of them stay in the worker."""
     held = sys.__dict__.setdefault("_sluice_powers", {})
-    if n > 1 << 22 or len(held.get(m, ())) < n:
-        out = np.full(min(max(n, 1 << 20), 1 << 22) if n <= 1 << 22 else n, m, U)
-        out[:1] = 1
-        out = np.multiply.accumulate(out)
-        if n > 1 << 22:
-            return out
+    if n <= 1 << 20 and m in held:
+        return held[m][:n]
+    out = np.full(max(n, 1 << 20), m, U)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= 1 << 20:
         held[m] = out
-    return held[m][:n]
+    return out[:n]
 
 
 class Rolling:

@@ -5,8 +5,8 @@ hash (the last of equals) among the window's first WIDTH - CORE + 1 words: equal
 so a window occurs at most as often as its core does. Pass one counts cores in count-min sketches, one for
 each partition, with counters that stop at two; they are merged by slices. The merged sketch never
 underestimates, so pass two, which groups only windows whose core is estimated to be repeated, loses none.
-It groups exactly, by 128 bits of hash: each partition sends on the first place of each of its windows
-and settles the others itself, so no window has more rows than there are partitions, however common.
+It groups exactly, by 128 bits of hash: of each RUN windows a partition sends on the first place of each
+and settles the others itself, so a window has a row for each run at most, however common.
 
 The sketch's size is bounded (see countmin.py); beyond the bound more windows pass and the result is the same.
 
@@ -26,6 +26,8 @@ from sluice.llm import textcore as tc
 from sluice.llm.common import keyed, load, on_key
 
 WIDTH, CORE = 20, 11
+#: Windows that a task has in hand at once (some 100 bytes each); a batch's own come on top.
+RUN = 3 << 19
 NULL_ID = -(2**63)
 
 
@@ -49,9 +51,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
 
     shared = docs.sparkSession.sparkContext.broadcast(countmin.repeated(texts.select("_text"), cores, expected))
 
-    def emit(batches):
-        import pyarrow as pa
+    limit = RUN
 
+    def emit(batches):
         two = shared.value
         keep = [[] for _ in range(5)]
         for batch in tc.sliced(batches, 2):
@@ -67,8 +69,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
             first = np.cumsum(counts) - counts
             for out, x in zip(keep, (tc.Rolling(hashes)(starts, starts + width), tc.Rolling(hashes, tc.MULTIPLIERS[2])(starts, starts + width), doc[owner], th[owner], starts - first[owner])):
                 out.append(x)
-        if not keep[0]:
-            return
+            if sum(map(len, keep[0])) >= limit:
+                yield from sent(keep)
+                keep = [[] for _ in range(5)]
+        if keep[0]:
+            yield from sent(keep)
+
+    def sent(keep):
+        import pyarrow as pa
+
         a, b, doc, th, at = (np.concatenate(x) for x in keep)
         order = np.lexsort((th, at, doc, b, a))
         a, b, doc, th, at = a[order], b[order], doc[order], th[order], at[order]

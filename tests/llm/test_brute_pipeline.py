@@ -83,12 +83,13 @@ def test_every_stage_and_the_run(spark, tables):
 
 @pytest.mark.parametrize("op", ["near_dups", "decontamination", "packing", "window_dedup", "suffix_dedup"])
 def test_other_side_of_the_switches(spark, tables, monkeypatch, op):
-    from sluice.llm import countmin, decontaminate, near_dups, packing, suffix_array
+    from sluice.llm import countmin, decontaminate, near_dups, packing, suffix_array, window_dedup
 
     for module in (near_dups, decontaminate):
         monkeypatch.setattr(module, "BROADCAST_BYTES", 0)  # joins shuffle
     monkeypatch.setattr(packing, "ISLAND", 16)  # elites migrate
     monkeypatch.setattr(suffix_array, "LOCAL", 0)
+    monkeypatch.setattr(window_dedup, "RUN", 1)  # every batch is a run
     monkeypatch.setattr(countmin, "MIN_CELLS", 1 << 16)
     monkeypatch.setattr(countmin, "MAX_CELLS", 1 << 16)
     if op == "packing":
