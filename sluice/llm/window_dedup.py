@@ -56,7 +56,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
     def emit(batches):
         two = shared.value
         keep = [[] for _ in range(5)]
-        for batch in tc.sliced(batches, 2):
+        for batch in tc.sliced(batches, 2, 4 << 20):
             doc, th = (np.asarray(batch.column(i).fill_null(NULL_ID)) for i in (0, 1))
             hashes, counts = tc.word_hashes(batch.column(2))
             starts, at = _anchors(hashes, counts, width, core)
