@@ -50,7 +50,7 @@ def _shared(spark: SparkSession) -> str:
         import tempfile
 
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local["):
+        if not folder and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-ckpt-"))
         now = sc._jsc.sc().getCheckpointDir()
