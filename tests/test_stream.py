@@ -115,3 +115,15 @@ def test_sink_rows(spark):
     assert {(r.queue, r.partition, r.payload) for r in out} == {("out", "a", '{"value":5}'), ("out", "Default", '{"value":6}')}
     ctx = S.window_tumbling(60).aggregate(SUM).apply(log(spark, [(1, "a", 61.5, 5)]))
     assert ctx.select(context(ctx)["windowKey"]).first()[0] == "1970-01-01T00:01:00.000Z"
+
+
+def test_native_streams_refuse_late_rows_they_would_drop(spark):
+    import pytest
+
+    from sluice.plans.stream import PlanError, Stream
+    from sluice.streaming.run import native
+
+    rows = spark.createDataFrame([], "id long, transaction_id string, queue string, partition string, created_at long, payload struct<v:int>")
+    plan = Stream.from_("q").window_tumbling(60, on_late="include", event_time=lambda m: m["created_at"]).aggregate({"n": None})
+    with pytest.raises(PlanError):
+        native(plan, rows)
