@@ -1,9 +1,16 @@
 """Count-min sketches with counters that stop at two: a lossless filter for hashes that may be repeated.
 
-Each partition counts its hashes; sketches are sent and merged by slices of SLICE cells. A hash is estimated
-as repeated if its cell holds two or more in every row, which an estimate from above never misses. There are
-8 cells for each expected hash and MAX_CELLS at most, so what is broadcast is bounded (a bit for each cell
-and row, 24 MB); beyond, more hashes pass.
+A hash is estimated as repeated if its cell holds two or more in every row, which an estimate from above never
+misses. There are two forms.
+
+`repeated_in` grows with the input. The range of hashes is cut into shards, each with a sketch of its own of 8
+cells or more for each hash that it counts, so the share of single hashes that pass is the same at every size. A
+partition sends its counts by shard: a hash met once goes with its row's key, one met twice or more in a run goes
+once for the run, with the weight two, and its rows are settled on the spot; so a shard gets a row for each run
+at most, however common a hash is. A shard merges the partitions' counts and answers to the keys.
+
+`repeated` broadcasts one sketch, sent and merged by slices of SLICE cells, of MAX_CELLS at most (a bit for each
+cell and row, 24 MB); beyond, more hashes pass.
 """
 
 from __future__ import annotations
@@ -16,6 +23,9 @@ from sluice.llm import textcore as tc
 ROWS = 3
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 26
 SLICE = 1 << 16
+#: Hashes that a shard of `repeated_in` expects, and those that a task has in hand at once.
+SHARD, RUN = 1 << 21, 1 << 21
+ASK, TWICE, SETTLED = 0, 1, 2
 
 
 def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -96,4 +106,123 @@ def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def words(column) -> np.ndarray:
+    """The 64-bit values in the strings of an Arrow binary column, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    if ends[0] == ends[-1]:
+        return np.empty(0, tc.U)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(tc.U)
+
+
+def strings(values: np.ndarray, edges: np.ndarray):
+    """An Arrow binary column of the stretches of 64-bit values between neighbouring edges."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def repeated_in(texts: DataFrame, hashes, expected: int, limit: int = 4 << 20) -> DataFrame:
+    """(_d, _th, hits): for rows (_d, _th, text) their hashes that are estimated to be repeated, as 64-bit values in some strings a row; hashes(column) gives those of a column of texts and each one's text."""
+    shards, run = -(-max(expected, 1) // SHARD), RUN
+    names = ["s", "_d", "_th", "kind", "hits"]
+
+    def count(batches):
+        held, rows, size = [], 0, 0
+        for batch in tc.sliced(batches, 2, limit):
+            h, owner = hashes(batch.column(2))
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), h, owner + rows))
+            rows, size = rows + batch.num_rows, size + len(h)
+            if size >= run:
+                yield from counted(held)
+                held, rows, size = [], 0, 0
+        if size:
+            yield from counted(held)
+
+    def counted(held):
+        doc, th, h, owner = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        again = np.zeros(len(h), bool)
+        again[order[1:]] = same
+        again[order[:-1]] |= same
+        shard = ((h >> tc.U(32)) * tc.U(shards) >> tc.U(32)).astype(np.int64)
+        lead = np.ones(len(h), bool)
+        lead[1:] = ~same
+        twice = order[lead & again[order]]  # in order of the hashes and so of the shards
+        yield from sent(h[twice], shard[twice], None, doc, th, TWICE)
+        k = np.flatnonzero(again)
+        yield from sent(h[k], owner[k] % shards, owner[k], doc, th, SETTLED)
+        k = np.flatnonzero(~again)
+        k = k[np.argsort(owner[k] * shards + shard[k], kind="stable")]
+        yield from sent(h[k], shard[k], owner[k], doc, th, ASK)
+
+    def sent(h, shard, owner, doc, th, kind):
+        import pyarrow as pa
+
+        new = shard[1:] != shard[:-1]
+        if owner is not None:
+            new |= owner[1:] != owner[:-1]
+        heads = np.flatnonzero(np.concatenate(([len(h) > 0], new)))
+        edges = np.append(heads, len(h))
+        for i in range(0, len(heads), 20_000):
+            k = heads[i : i + 20_000]
+            cut = edges[i : i + len(k) + 1]
+            at = np.zeros(len(k), np.int64) if owner is None else owner[k]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[k]), pa.array(doc[at]), pa.array(th[at]), pa.array(np.full(len(k), kind, np.int32)), strings(h[cut[0] : cut[-1]], cut - cut[0])], names=names)
+
+    def merge(batches):
+        import pyarrow as pa
+
+        now, held = None, []
+        for batch in batches:
+            kind = np.asarray(batch.column(3))
+            settled = np.flatnonzero(kind == SETTLED)
+            if len(settled):
+                yield batch.select([1, 2, 4]).take(pa.array(settled))
+            batch = batch.take(pa.array(np.flatnonzero(kind != SETTLED)))
+            if not batch.num_rows:
+                continue
+            s = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and s[a] != now:
+                    yield from answers(held)
+                    held = []
+                now = s[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from answers(held)
+
+    def answers(held):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        all_ = pa.Table.from_batches(held).combine_chunks()
+        ask, twice = (all_.take(pa.array(np.flatnonzero(np.asarray(all_.column(3)) == kind))).combine_chunks() for kind in (ASK, TWICE))
+        if not ask.num_rows:
+            return
+        column = ask.column(4).chunk(0)
+        one, two = words(column), words(twice.column(4).chunk(0)) if twice.num_rows else np.empty(0, tc.U)
+        cells = 1 << (8 * (len(one) + len(two))).bit_length()
+        keep = np.ones(len(one), bool)
+        for row in range(ROWS):
+            cell = _cells(one, row, cells)
+            counts = np.bincount(cell, minlength=cells)
+            counts[_cells(two, row, cells)] = 2
+            keep &= counts[cell] >= 2
+        ends = np.asarray(pc.binary_length(column)).astype(np.int64).cumsum() // 8
+        edges = np.concatenate(([0], np.concatenate(([0], np.cumsum(keep)))[ends]))
+        rows = np.flatnonzero(edges[1:] > edges[:-1])
+        if not len(rows):
+            return
+        one, edges = one[keep], np.append(edges[:-1][rows], edges[-1])
+        doc, th = (np.asarray(ask.column(i).chunk(0))[rows] for i in (1, 2))
+        for i in range(0, len(rows), 20_000):
+            cut = edges[i : i + 20_001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 20_000]), pa.array(th[i : i + 20_000]), strings(one[cut[0] : cut[-1]], cut - cut[0])], names=["_d", "_th", "hits"])
+
+    parts = texts.mapInArrow(count, "s long, _d long, _th long, kind int, hits binary")
+    return parts.repartition("s").sortWithinPartitions("s").mapInArrow(merge, "_d long, _th long, hits binary")
+
+
 tc.by_value(__name__)

@@ -2,14 +2,13 @@
 
 A window is WIDTH consecutive words of one document. Its core is the CORE words from the smallest word
 hash (the last of equals) among the window's first WIDTH - CORE + 1 words: equal windows have equal cores,
-so a window occurs at most as often as its core does. Pass one counts cores in count-min sketches, one for
-each partition, with counters that stop at two; they are merged by slices. The merged sketch never
-underestimates, so pass two, which groups only windows whose core is estimated to be repeated, loses none.
+so a window occurs at most as often as its core does. Pass one counts cores in count-min sketches with
+counters that stop at two: the partitions' counts are merged by shards of the range of hashes, whose number
+grows with the input (countmin.repeated_in), and the cores estimated to be repeated come back by document. The
+merged sketch never underestimates, so pass two, which groups only windows of such cores, loses none.
 It groups exactly, by 128 bits of hash: of each RUN windows a partition sends on the first place of each
 and settles the others itself, so a window has a row for each run at most, however common.
 
-The sketch's size is bounded (see countmin.py); beyond the bound more windows pass and the result is the same.
-
 Defined cases: a null or empty text has no words and stays as it is, empty; a null doc_id is smaller than any
 other (it stands as -2**63, which is no doc_id here); rows with one doc_id and text count as one place and get equal results; extra columns of any name
 pass through; an empty table stays empty.
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import countmin
 from sluice.llm import textcore as tc
-from sluice.llm.common import keyed, load, on_key
+from sluice.llm.common import load
 
 WIDTH, CORE = 20, 11
 #: Windows that a task has in hand at once (some 100 bytes each); a batch's own come on top.
@@ -38,32 +37,41 @@ def _anchors(hashes, counts, width, core):
     return starts, at[starts]
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
-    """(doc_id, _th, starts): places (in words) where windows start that occurred earlier."""
-    texts = keyed(docs).select("doc_id", "_th", "_text")
+def repeated_windows(rows: DataFrame, column: int, width: int = WIDTH, core: int = CORE) -> DataFrame:
+    """(_d, _th, _starts): for rows (_row, _d, _th), whose text is a field of _row, the places (in words) where windows start that occurred earlier."""
+    text = rows.schema["_row"].dataType.names[column]
+    texts = rows.select("_d", "_th", F.coalesce(F.col("_row").getField(text).cast("string"), F.lit("")).alias("_text"))
     n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     expected = n_bytes // 6 * 2 // (width - core + 2)
 
     def cores(column):
         hashes, counts = tc.word_hashes(column)
         at = np.unique(_anchors(hashes, counts, width, core)[1])
-        return tc.Rolling(hashes)(at, at + core)
+        return tc.Rolling(hashes)(at, at + core), np.searchsorted(np.cumsum(counts), at, "right")
 
-    shared = docs.sparkSession.sparkContext.broadcast(countmin.repeated(texts.select("_text"), cores, expected))
+    hits = countmin.repeated_in(texts, cores, expected).groupBy("_d", "_th").agg(F.collect_list("hits").alias("_hits"))
+    # all columns go along, so that this join and the one in cut() read the same shuffled rows
+    asked = rows.join(hits, ["_d", "_th"], "left").select("_row", "_d", "_th", "_hits")
 
     limit = RUN
 
+    def with_hits(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(np.asarray(batch.column(3).is_valid()))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0).field(column), batch.column(3)], names=["_d", "_th", "_text", "_hits"])
+
     def emit(batches):
-        two = shared.value
         keep = [[] for _ in range(5)]
-        for batch in tc.sliced(batches, 2, 4 << 20):
-            doc, th = (np.asarray(batch.column(i).fill_null(NULL_ID)) for i in (0, 1))
+        for batch in tc.sliced(with_hits(batches), 2, 4 << 20):
+            doc, th = (np.asarray(batch.column(i)) for i in (0, 1))
             hashes, counts = tc.word_hashes(batch.column(2))
             starts, at = _anchors(hashes, counts, width, core)
             if not len(starts):
                 continue
             places, where = np.unique(at, return_inverse=True)
-            maybe = countmin.maybe(two, tc.Rolling(hashes)(places, places + core))
+            maybe = np.isin(tc.Rolling(hashes)(places, places + core), countmin.words(batch.column(3).flatten()))
             starts = starts[maybe[where]]
             owner = np.repeat(np.arange(len(counts)), counts)[starts]
             first = np.cumsum(counts) - counts
@@ -112,7 +120,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
         for batch in batches:
             settled = np.flatnonzero(np.asarray(batch.column(5).is_valid()))
             if len(settled):
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(settled)) for i in (2, 3, 5)], names=["doc_id", "_th", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(settled)) for i in (2, 3, 5)], names=["_d", "_th", "starts"])
             rest = np.flatnonzero(np.asarray(batch.column(5).is_null()))
             if not len(rest):
                 continue
@@ -126,20 +134,20 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> D
                 lead_doc[carried], lead_at[carried] = last[2:]
             later = np.flatnonzero((doc != lead_doc) | (at != lead_at))
             last = (a[-1], b[-1], lead_doc[-1], lead_at[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(th[later]), pa.array([x.tobytes() for x in at[later]], pa.binary())], names=["doc_id", "_th", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(th[later]), pa.array([x.tobytes() for x in at[later]], pa.binary())], names=["_d", "_th", "starts"])
 
     names = ["a", "b", "d", "_th", "at", "starts"]
-    rows = texts.mapInArrow(emit, "a long, b long, d long, _th long, at int, starts binary")
-    found = rows.repartition("a", "b").sortWithinPartitions("a", "b", "d", "at").mapInArrow(settle, "doc_id long, _th long, starts binary")
-    listed = found.groupBy("doc_id", "_th").agg(F.collect_list("starts").alias("_starts"))
-    return listed.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    windows = asked.mapInArrow(emit, "a long, b long, d long, _th long, at int, starts binary")
+    found = windows.repartition("a", "b").sortWithinPartitions("a", "b", "d", "at").mapInArrow(settle, "_d long, _th long, starts binary")
+    return found.groupBy("_d", "_th").agg(F.collect_list("starts").alias("_starts"))
 
 
 def cut(docs: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """docs with n_words, n_removed (words) and _kept: the kept words joined by single blanks."""
     cols = docs.columns
-    row = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("_th"))
-    marked = on_key(row, repeated_windows(docs, width, core), "left").select(*[F.col("_row").getField(c).alias(c) for c in cols], "_starts")
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("_d")
+    rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), key, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("_th"))
+    marked = rows.join(repeated_windows(rows, cols.index("text"), width, core), ["_d", "_th"], "left").select(*[F.col("_row").getField(c).alias(c) for c in cols], "_starts")
 
     def keep(batches):
         import pyarrow as pa

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import test_operators as ops
 from test_operators import WS, check_packing, low, shingles
@@ -92,8 +94,38 @@ def test_other_side_of_the_switches(spark, tables, monkeypatch, op):
     monkeypatch.setattr(window_dedup, "RUN", 1)  # every batch is a run
     monkeypatch.setattr(countmin, "MIN_CELLS", 1 << 16)
     monkeypatch.setattr(countmin, "MAX_CELLS", 1 << 16)
+    monkeypatch.setattr(countmin, "SHARD", 1 << 6)  # many shards
+    monkeypatch.setattr(countmin, "RUN", 1)
     if op == "packing":
         n, total = check_packing(ops.got(spark, tables, "op5").collect(), tables["docs"])
         assert n <= total / 2048 + 4
     else:
         getattr(ops, f"test_{op}")(spark, tables)
+
+
+def test_sketch_grows_with_the_input(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from sluice.llm import countmin, window_dedup
+    from sluice.llm import textcore as tc
+
+    monkeypatch.setattr(countmin, "SHARD", 1 << 9)
+
+    def hashes(column):
+        h, counts = tc.word_hashes(column)
+        return h, np.repeat(np.arange(len(counts)), counts)
+
+    shares = []
+    for n in (200, 2000):
+        # of the 50 words of a text, 49 occur once and one in half of all texts
+        texts = spark.range(n).select(
+            F.col("id").alias("_d"), F.xxhash64("id").alias("_th"),
+            F.concat_ws(" ", F.when(F.col("id") % 2 == 0, F.lit("common")), F.transform(F.sequence(F.lit(1), F.lit(49)), lambda i: F.concat_ws("-", F.col("id"), i))).alias("text"),
+        ).repartition(5)
+        out = countmin.repeated_in(texts, hashes, 50 * n).collect()
+        hits = {}
+        for r in out:
+            hits.setdefault((r["_d"], r["_th"]), []).extend(np.frombuffer(r["hits"], np.uint64).tolist())
+        common = int(tc.word_hashes(pa.array(["common"]))[0][0])
+        assert {d for (d, _), h in hits.items() if common in h} == set(range(0, n, 2))  # none lost
+        shares.append((sum(map(len, hits.values())) - n / 2) / (49 * n))
+    assert max(shares) < 0.01, shares
