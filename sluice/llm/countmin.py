@@ -6,8 +6,8 @@ misses. There are two forms.
 `repeated_in` grows with the input. The range of hashes is cut into shards, each with a sketch of its own of 8
 cells or more for each hash that it counts, so the share of single hashes that pass is the same at every size. A
 partition sends its counts by shard: a hash met once goes with its row's key, one met twice or more in a run goes
-once for the run, with the weight two, and its rows are settled on the spot; so a shard gets a row for each run
-at most, however common a hash is. A shard merges the partitions' counts and answers to the keys.
+once for the run, with the weight two, and its rows are settled on the spot; so a shard gets a hash once a run
+at most, however common it is. A shard merges the partitions' counts and answers to the keys.
 
 `repeated` broadcasts one sketch, sent and merged by slices of SLICE cells, of MAX_CELLS at most (a bit for each
 cell and row, 24 MB); beyond, more hashes pass.
@@ -23,8 +23,8 @@ from sluice.llm import textcore as tc
 ROWS = 3
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 26
 SLICE = 1 << 16
-#: Hashes that a shard of `repeated_in` expects, and those that a task has in hand at once.
-SHARD, RUN = 1 << 21, 1 << 21
+#: Hashes that a shard of `repeated_in` expects, those that a task has in hand at once, and those in a row that it sends.
+SHARD, RUN, PACK = 1 << 20, 1 << 20, 1 << 10
 ASK, TWICE, SETTLED = 0, 1, 2
 
 
@@ -106,25 +106,26 @@ def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(column) -> np.ndarray:
-    """The 64-bit values in the strings of an Arrow binary column, one after the other."""
+def words(column, dtype=tc.U) -> np.ndarray:
+    """The values in the strings of an Arrow binary column, one after the other."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
     if ends[0] == ends[-1]:
-        return np.empty(0, tc.U)
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(tc.U)
+        return np.empty(0, dtype)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype)
 
 
 def strings(values: np.ndarray, edges: np.ndarray):
-    """An Arrow binary column of the stretches of 64-bit values between neighbouring edges."""
+    """An Arrow binary column of the stretches of values between neighbouring edges."""
     import pyarrow as pa
 
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    values, edges = np.ascontiguousarray(values[edges[0] : edges[-1]]), edges - edges[0]
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def repeated_in(texts: DataFrame, hashes, expected: int, limit: int = 4 << 20) -> DataFrame:
     """(_d, _th, hits): for rows (_d, _th, text) their hashes that are estimated to be repeated, as 64-bit values in some strings a row; hashes(column) gives those of a column of texts and each one's text."""
-    shards, run = -(-max(expected, 1) // SHARD), RUN
-    names = ["s", "_d", "_th", "kind", "hits"]
+    shards, run, pack = -(-max(expected, 1) // SHARD), RUN, PACK
+    names = ["s", "kind", "ds", "ths", "counts", "hits"]
 
     def count(batches):
         held, rows, size = [], 0, 0
@@ -149,36 +150,53 @@ def repeated_in(texts: DataFrame, hashes, expected: int, limit: int = 4 << 20) -
         lead = np.ones(len(h), bool)
         lead[1:] = ~same
         twice = order[lead & again[order]]  # in order of the hashes and so of the shards
-        yield from sent(h[twice], shard[twice], None, doc, th, TWICE)
+        yield from sent(h[twice], shard[twice], np.zeros(len(twice), np.int64), doc, th, TWICE)
         k = np.flatnonzero(again)
-        yield from sent(h[k], owner[k] % shards, owner[k], doc, th, SETTLED)
+        yield from sent(h[k], owner[k] // pack % shards, owner[k], doc, th, SETTLED)
         k = np.flatnonzero(~again)
-        k = k[np.argsort(owner[k] * shards + shard[k], kind="stable")]
+        k = k[np.argsort(shard[k], kind="stable")]
         yield from sent(h[k], shard[k], owner[k], doc, th, ASK)
 
     def sent(h, shard, owner, doc, th, kind):
+        """Rows of `pack` hashes of a shard at most, with the keys of their texts and how many hashes each has."""
         import pyarrow as pa
 
-        new = shard[1:] != shard[:-1]
-        if owner is not None:
-            new |= owner[1:] != owner[:-1]
-        heads = np.flatnonzero(np.concatenate(([len(h) > 0], new)))
-        edges = np.append(heads, len(h))
-        for i in range(0, len(heads), 20_000):
-            k = heads[i : i + 20_000]
-            cut = edges[i : i + len(k) + 1]
-            at = np.zeros(len(k), np.int64) if owner is None else owner[k]
-            yield pa.RecordBatch.from_arrays([pa.array(shard[k]), pa.array(doc[at]), pa.array(th[at]), pa.array(np.full(len(k), kind, np.int32)), strings(h[cut[0] : cut[-1]], cut - cut[0])], names=names)
+        if not len(h):
+            return
+        new = np.flatnonzero(shard[1:] != shard[:-1]) + 1
+        edges = np.concatenate([np.arange(a, b, pack) for a, b in zip([0, *new.tolist()], [*new.tolist(), len(h)])] + [[len(h)]])
+        text = np.ones(len(h), bool)
+        text[1:] = owner[1:] != owner[:-1]
+        text[edges[:-1]] = True
+        heads = np.flatnonzero(text)
+        counts, doc, th = np.diff(np.append(heads, len(h))).astype(np.int32), doc[owner[heads]], th[owner[heads]]
+        rows = np.searchsorted(heads, edges)
+        for i in range(0, len(edges) - 1, 1_000):
+            cut, at = edges[i : i + 1_001], rows[i : i + 1_001]
+            k = len(cut) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut[:-1]]), pa.array(np.full(k, kind, np.int32)), strings(doc, at), strings(th, at), strings(counts, at), strings(h, cut)], names=names)
+
+    def unpacked(packs):
+        """Keys, edges of their hashes, and the hashes of packed rows."""
+        doc, th = (words(packs.column(i), np.int64) for i in (2, 3))
+        return doc, th, np.concatenate(([0], np.cumsum(words(packs.column(4), np.int32), dtype=np.int64))), words(packs.column(5))
+
+    def found(doc, th, edges, h):
+        import pyarrow as pa
+
+        for i in range(0, len(doc), 20_000):
+            k = slice(i, i + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(th[k]), strings(h, edges[i : i + 20_001])], names=["_d", "_th", "hits"])
 
     def merge(batches):
         import pyarrow as pa
 
         now, held = None, []
         for batch in batches:
-            kind = np.asarray(batch.column(3))
+            kind = np.asarray(batch.column(1))
             settled = np.flatnonzero(kind == SETTLED)
             if len(settled):
-                yield batch.select([1, 2, 4]).take(pa.array(settled))
+                yield from found(*unpacked(batch.take(pa.array(settled))))
             batch = batch.take(pa.array(np.flatnonzero(kind != SETTLED)))
             if not batch.num_rows:
                 continue
@@ -195,33 +213,25 @@ def repeated_in(texts: DataFrame, hashes, expected: int, limit: int = 4 << 20) -
 
     def answers(held):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        all_ = pa.Table.from_batches(held).combine_chunks()
-        ask, twice = (all_.take(pa.array(np.flatnonzero(np.asarray(all_.column(3)) == kind))).combine_chunks() for kind in (ASK, TWICE))
-        if not ask.num_rows:
-            return
-        column = ask.column(4).chunk(0)
-        one, two = words(column), words(twice.column(4).chunk(0)) if twice.num_rows else np.empty(0, tc.U)
-        cells = 1 << (8 * (len(one) + len(two))).bit_length()
+        all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        kind = np.asarray(all_.column(1))
+        doc, th, edges, one = unpacked(all_.take(pa.array(np.flatnonzero(kind == ASK))))
+        two = words(all_.take(pa.array(np.flatnonzero(kind == TWICE))).column(5))
+        cells = 1 << (8 * max(len(one) + len(two), 32) - 1).bit_length()
         keep = np.ones(len(one), bool)
         for row in range(ROWS):
-            cell = _cells(one, row, cells)
-            counts = np.bincount(cell, minlength=cells)
-            counts[_cells(two, row, cells)] = 2
-            keep &= counts[cell] >= 2
-        ends = np.asarray(pc.binary_length(column)).astype(np.int64).cumsum() // 8
-        edges = np.concatenate(([0], np.concatenate(([0], np.cumsum(keep)))[ends]))
+            cell, full = _cells(one, row, cells), np.zeros(cells, bool)
+            at = np.sort(cell)
+            full[at[1:][at[1:] == at[:-1]]] = True
+            full[_cells(two, row, cells)] = True
+            keep &= full[cell]
+        edges = np.concatenate(([0], np.cumsum(keep)))[edges]
         rows = np.flatnonzero(edges[1:] > edges[:-1])
-        if not len(rows):
-            return
-        one, edges = one[keep], np.append(edges[:-1][rows], edges[-1])
-        doc, th = (np.asarray(ask.column(i).chunk(0))[rows] for i in (1, 2))
-        for i in range(0, len(rows), 20_000):
-            cut = edges[i : i + 20_001]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 20_000]), pa.array(th[i : i + 20_000]), strings(one[cut[0] : cut[-1]], cut - cut[0])], names=["_d", "_th", "hits"])
+        if len(rows):
+            yield from found(doc[rows], th[rows], np.append(edges[:-1][rows], edges[-1]), one[keep])
 
-    parts = texts.mapInArrow(count, "s long, _d long, _th long, kind int, hits binary")
+    parts = texts.mapInArrow(count, "s long, kind int, ds binary, ths binary, counts binary, hits binary")
     return parts.repartition("s").sortWithinPartitions("s").mapInArrow(merge, "_d long, _th long, hits binary")
 
 

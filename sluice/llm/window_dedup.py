@@ -26,7 +26,7 @@ from sluice.llm.common import load
 
 WIDTH, CORE = 20, 11
 #: Windows that a task has in hand at once (some 100 bytes each); a batch's own come on top.
-RUN = 3 << 19
+RUN = 1 << 20
 NULL_ID = -(2**63)
 
 

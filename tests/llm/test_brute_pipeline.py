@@ -96,6 +96,7 @@ def test_other_side_of_the_switches(spark, tables, monkeypatch, op):
     monkeypatch.setattr(countmin, "MAX_CELLS", 1 << 16)
     monkeypatch.setattr(countmin, "SHARD", 1 << 6)  # many shards
     monkeypatch.setattr(countmin, "RUN", 1)
+    monkeypatch.setattr(countmin, "PACK", 3)
     if op == "packing":
         n, total = check_packing(ops.got(spark, tables, "op5").collect(), tables["docs"])
         assert n <= total / 2048 + 4
