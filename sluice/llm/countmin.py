@@ -226,10 +226,9 @@ def repeated_in(texts: DataFrame, hashes, expected: int, limit: int = 4 << 20) -
             full[at[1:][at[1:] == at[:-1]]] = True
             full[_cells(two, row, cells)] = True
             keep &= full[cell]
-        edges = np.concatenate(([0], np.cumsum(keep)))[edges]
-        rows = np.flatnonzero(edges[1:] > edges[:-1])
-        if len(rows):
-            yield from found(doc[rows], th[rows], np.append(edges[:-1][rows], edges[-1]), one[keep])
+        # a row for each hit: a text's hits lie in as many shards as there are, so joined rows would grow in number with the shards
+        hits = np.diff(np.concatenate(([0], np.cumsum(keep)))[edges])
+        yield from found(np.repeat(doc, hits), np.repeat(th, hits), np.arange(keep.sum() + 1), one[keep])
 
     parts = texts.mapInArrow(count, "s long, kind int, ds binary, ths binary, counts binary, hits binary")
     return parts.repartition("s").sortWithinPartitions("s").mapInArrow(merge, "_d long, _th long, hits binary")
