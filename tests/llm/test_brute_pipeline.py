@@ -130,3 +130,30 @@ def test_sketch_grows_with_the_input(spark, monkeypatch):
         assert {d for (d, _), h in hits.items() if common in h} == set(range(0, n, 2))  # none lost
         shares.append((sum(map(len, hits.values())) - n / 2) / (49 * n))
     assert max(shares) < 0.01, shares
+
+
+def test_suffix_filter_grows_with_the_input(spark, monkeypatch):
+    import random
+
+    from sluice.llm import countmin, suffix_dedup
+
+    monkeypatch.setattr(countmin, "MIN_CELLS", 1 << 16)
+    monkeypatch.setattr(countmin, "MAX_CELLS", 1 << 16)  # a single sketch of that size would be full
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1 << 6, raising=False)  # many shards of windows
+    monkeypatch.setattr(suffix_dedup, "RUN", 1, raising=False)
+    left, stored = [], suffix_dedup.stored
+
+    def seen(df, name):
+        out = stored(df, name)
+        if name == "runs":
+            left.extend(len(r["data"]) for r in out.select("data").collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(300)) for _ in range(2000)]
+    shared = " ".join(f"{r.getrandbits(40):x}" for _ in range(60))
+    rows = [(i, f"{t}\n{shared}\t{i}" if i < 2 else t) for i, t in enumerate(texts)]
+    out = suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_removed for x in out} == {i: len(shared) + 2 if i < 2 else 0 for i in range(2000)}
+    assert sum(left) < 0.05 * sum(len(t) for t in texts)
