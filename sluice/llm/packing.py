@@ -27,6 +27,8 @@ CAPACITY, END = 2048, 0
 ISLAND, POPULATION, GENERATIONS, EPOCHS = 8192, 4, 4, 3
 #: Well-filled bins that migrate, and the share of the capacity under which a bin is packed once more.
 ELITE, ILL = 256, 0.995
+#: Bytes of text that are encoded at once: of the pieces of tokens.SLICE two workers and their executor's heap take too much memory together.
+SLICE = 4 << 20
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str = tokens.TOKENIZER, ids: bool = False) -> DataFrame:
@@ -37,22 +39,24 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer:
 
         import pyarrow as pa
 
-        for batch in tc.sliced(batches, 1, tokens.SLICE):
+        for batch in tc.sliced(batches, 1, SLICE):
             all_ids, counts = tokens.pieces(tokenizer).encode(batch.column(1), end)
-            all_ids = all_ids.astype("<u4")
+            all_ids = all_ids.astype("<i4", copy=False)
             n = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), n)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             start = piece * capacity
             length = np.minimum(counts[row] - start, capacity)
             at = (np.cumsum(counts) - counts)[row] + start
-            raw = memoryview(all_ids.tobytes())
+            raw = memoryview(all_ids.view(np.uint8))
             crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())), np.int64, len(at))
             out = [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
             if ids:
                 edges = np.concatenate([[0], np.cumsum(length)])
-                out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(all_ids.astype(np.int32))))
+                out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(all_ids)))
             yield pa.RecordBatch.from_arrays(out, names=names)
+            del all_ids, raw, out
+        tc.give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids

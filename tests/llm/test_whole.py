@@ -91,3 +91,45 @@ def test_a_text_of_many_secrets_takes_linear_time(spark):
     out = {r.doc_id: r for r in secret_scan.scan(docs).select("doc_id", F.size("spans").alias("n"), F.element_at("spans", -1)["s"].alias("s"), F.element_at("spans", -1)["e"].alias("e"), F.get("spans", 777)["s"].alias("k")).collect()}
     assert (out[1].n, out[1].s, out[1].e, out[1].k) == (n, 18 * (n - 1) + 1, 18 * (n - 1) + 17, 18 * 777 + 1) and (out[2].n, out[2].s) == (1, 0)
     assert time.time() - began < 30
+
+
+def test_packing_takes_little_memory(tmp_path):
+    # two workers and a heap of 60 % share an executor, so what one takes besides its texts is bounded
+    import os
+    import random
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    from sluice.llm import packing
+
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(20_000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(9_000)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    with pa.OSFile(str(tmp_path / "texts"), "wb") as sink, pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    child = """
+import re, sys
+import pyarrow as pa
+from sluice.llm import packing, tokens
+
+class Docs:
+    select = lambda self, *cols: self
+    mapInArrow = lambda self, run, schema: run
+
+packing.keyed = lambda docs: Docs()
+run = packing.pieces(None, ids=True)
+read = lambda: pa.ipc.open_stream(pa.OSFile(sys.argv[1]))
+tokens.pieces().encode(pa.array(["a b"]))
+held = [b for b in read()]
+mb = lambda name: int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+before, n = mb("VmRSS"), 0
+for b in run(iter(held)):
+    n += b.num_rows
+    del b
+print(n, mb("VmHWM") - before, mb("VmRSS") - before)
+"""
+    n, most, kept = map(float, subprocess.run([sys.executable, "-c", child, str(tmp_path / "texts")], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(packing.__file__)) + "/..").stdout.split())
+    assert n >= 9_000
+    assert most < 200 and kept < 80, (most, kept)
