@@ -133,3 +133,30 @@ print(n, mb("VmHWM") - before, mb("VmRSS") - before)
     n, most, kept = map(float, subprocess.run([sys.executable, "-c", child, str(tmp_path / "texts")], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(packing.__file__)) + "/..").stdout.split())
     assert n >= 9_000
     assert most < 200 and kept < 80, (most, kept)
+
+
+def test_suffix_tasks_give_memory_back(spark, tmp_path, monkeypatch):
+    # workers are reused: what a task of any step keeps stands beside the heap of all later ones
+    import random
+    import uuid
+
+    from sluice.llm import suffix_array, suffix_dedup
+    from sluice.llm import textcore as tc
+
+    folder = str(tmp_path)
+
+    def give_back():
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+
+    monkeypatch.setattr(tc, "give_back", give_back)
+    monkeypatch.setattr(suffix_array, "LOCAL", 0)
+    steps, arrow = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, *more: steps.append(run.__qualname__) or arrow(self, run, *more))
+    r = random.Random(5)
+    passage = "".join(r.choices("abcdefgh ", k=900))
+    rows = [(i, "".join(r.choices("abcdefgh ", k=300)) + passage[i : i + 600]) for i in range(12)]
+    out = suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 12 and all(x.n_removed >= 500 for x in out)
+    own = [s for s in steps if "repeated_in" not in s and "members" not in s]
+    assert len(own) >= 13 and all(s.startswith("giving_back") for s in own), own
+    assert len(list(tmp_path.iterdir())) >= len(own)
