@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 
 def test_small_sets_in_larger_ones_are_linked(spark):
     from sluice.llm import near_dups
@@ -160,3 +162,57 @@ def test_suffix_tasks_give_memory_back(spark, tmp_path, monkeypatch):
     own = [s for s in steps if "repeated_in" not in s and "members" not in s]
     assert len(own) >= 13 and all(s.startswith("giving_back") for s in own), own
     assert len(list(tmp_path.iterdir())) >= len(own)
+
+
+@pytest.mark.parametrize("local", [2500, 10_000])
+def test_suffixes_are_ranked_to_their_ends(spark, local):
+    import bisect
+
+    from sluice.llm import suffix_array
+
+    seqs = [[1] * 2500, [1] * 2500 + [2], [3] + [1] * 2000]
+    got = {(x.seq, x.i): x["rank"] for x in suffix_array.ranks(spark.createDataFrame(list(enumerate(seqs)), "seq long, s array<long>"), local=local).collect()}
+    every = sorted(tuple(s[i:]) for s in seqs for i in range(len(s)))
+    assert got == {(k, i): bisect.bisect_left(every, tuple(s[i:])) for k, s in enumerate(seqs) for i in range(len(s))}
+
+
+@pytest.mark.parametrize("local", [0, 1 << 19])
+def test_the_suffix_array_of_runs_is_whole_and_settles_long_repeats(spark, monkeypatch, local):
+    import bisect
+
+    from sluice.llm import suffix_array, suffix_dedup
+
+    monkeypatch.setattr(suffix_array, "LOCAL", local)
+    kept, ranks, stored, ends = [], suffix_array.ranks, suffix_dedup.stored, []
+
+    def seen(sequences, *more, **named):
+        outer = not kept
+        if outer:  # deeper levels call it too
+            kept.append({r["seq"]: r["s"] for r in sequences.collect()})
+        out = ranks(sequences, *more, **named)
+        if outer:
+            kept.append({(r["seq"], r["i"]): r["rank"] for r in out.collect()})
+        return out
+
+    def wrote(df, name):
+        out = stored(df, name)
+        if name == "ends":
+            ends.extend(out.collect())
+        return out
+
+    r = random.Random(11)
+    prose = lambda n: " ".join(f"{r.getrandbits(24):x}" for _ in range(n))
+    a, b, c = prose(80), prose(1500), prose(90)
+    rows = [(1, f"{a}|{b}"), (2, f"{b}|{c}"), (3, a), (4, c), (5, prose(300))]  # b lies in two runs that differ
+    monkeypatch.setattr(suffix_array, "ranks", seen)
+    monkeypatch.setattr(suffix_dedup, "stored", wrote)
+    out = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (len(a + b), 2), 2: (len(b + c), 2), 3: (len(a), 1), 4: (len(c), 1), 5: (0, 0)}
+    symbols, found = kept
+    every = sorted(tuple(s[i:]) for s in symbols.values() for i in range(len(s)))
+    assert found == {(k, i): bisect.bisect_left(every, tuple(s[i:])) for k, s in symbols.items() for i in range(len(s))}
+    assert max(map(len, symbols.values())) > 100
+    # what neighbours share is known without a comparison of its bytes, and stands for itself once
+    shown = sum(x["width"] for x in ends if not x["times"])
+    assert shown > 2 * 0.9 * len(b)
+    assert sum(x["width"] for x in ends if x["times"]) < 1.2 * len(a + b + c)
